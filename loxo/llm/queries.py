@@ -69,11 +69,23 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """path: the tokenizer file; that of the installed public tokenizers unless given."""
+    from .bpe import encode_digest
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), path, ["doc_id"])
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat_format": op2_chat_format,
     "op3_url_filter": op3_url_filter,
     "op4_pii": op4_pii,
+    "op7_bpe": op7_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
