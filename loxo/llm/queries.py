@@ -80,12 +80,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), path, ["doc_id"])
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat_format": op2_chat_format,
     "op3_url_filter": op3_url_filter,
     "op4_pii": op4_pii,
     "op7_bpe": op7_bpe,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
