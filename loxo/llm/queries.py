@@ -86,11 +86,18 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat_format": op2_chat_format,
     "op3_url_filter": op3_url_filter,
     "op4_pii": op4_pii,
+    "op6_html_text": op6_html_text,
     "op7_bpe": op7_bpe,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
