@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, word_count
@@ -92,11 +92,25 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def _fold(doc_id) -> Column:
+    return F.crc32(doc_id.cast("string")) % 3
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), _fold(F.col("doc_id")) != 1)
+    out = score(docs, model)
+    return out.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_spans")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat_format": op2_chat_format,
     "op3_url_filter": op3_url_filter,
     "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
     "op7_bpe": op7_bpe,
     "op9_ngram_join": op9_ngram_join,
