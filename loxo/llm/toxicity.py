@@ -179,7 +179,7 @@ def summary(p: np.ndarray) -> list[float]:
     """What the logistic layer sees of a document."""
     if not len(p):
         return [1.0, 0.0, 0.0, 0.0, 0.0]
-    s = float(p.sum())
+    s = float(p[p > 0.1].sum())  # so that the small marginals of a very long clean text don't add up
     return [1.0, float(p.max()), math.log1p(s), math.log1p(200 * s / (len(p) + 20)), math.log1p(len(p)) / 10]
 
 
