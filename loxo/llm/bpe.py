@@ -15,12 +15,13 @@ an arc w unrolls into the arcs that were there when the gadgets were added:
   before r stays removed, what is removed from v later does not count.
 
 So the arcs are a table over pairs of tokens, filled in as text asks for them
-(``_Automaton.arc``); the whole table would have vocabulary squared entries.
+(``_Automaton.arc``, bounded); the whole table would have vocabulary squared entries.
 
-Encoding a pre-split word runs over its bytes; a trie over the reversed
-spellings gives the tokens that end at a byte, and the longest with an arc
-from the state at its start is the last token of that prefix.  The tokens are
-read off backwards.  Decoding emits the labels (byte strings) of the arcs.
+Encoding runs the automaton over a pre-split word: at each place the longest
+spelling in a trie that has an arc from the state before it is taken, else its
+next shorter prefix; if none has, the step before is undone and its place
+marked, for the path that leads to a place is the only one.  So each place is
+left at most once.  Decoding emits the labels (byte strings) of the arcs.
 
 Words are encoded once per worker and kept in a bounded memo.
 
@@ -35,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -44,6 +46,9 @@ from pyspark.sql import functions as F
 
 #: The pre-split of byte-level vocabularies (a fixed public pattern).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pattern where letters and digits are those that Python's own engine knows by \\w and \\d; ODD finds texts for which that isn't so.
+PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 MEMO = 400_000
 LONG = 64
 
@@ -71,18 +76,21 @@ class _Automaton:
             self.removed[u, v] = rank
             self.parts.setdefault(vocab[left + right], (u, v, rank))
         self.never = len(self.removed)
-        reachable = {i for i, b in self.labels.items() if len(b) == 1} | self.parts.keys()
-        self.ends: dict = {}  # trie over the reversed spellings; key None holds the token
-        for b, i in by_bytes.items():
-            if i in reachable:
-                node = self.ends
-                for x in reversed(b):
-                    node = node.setdefault(x, {})
-                node[None] = i
         self.table: dict[int, bool] = {}
+        self.trie: dict = {}  # over the spellings of what merges can make; key -1 holds the token
+        self.shorter: dict[int, int | None] = {}
+        made = [(b, i) for b, i in by_bytes.items() if len(b) == 1 or i in self.parts and self._there(*self.parts[i])]
+        for b, i in sorted(made):
+            node, prefix = self.trie, None
+            for x in b:
+                prefix = node.get(-1, prefix)
+                node = node.setdefault(x, {})
+            node[-1] = i
+            self.shorter[i] = prefix
+        self.size = {i: len(b) for i, b in self.labels.items()}
         names = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(names) + ")") if names else None
-        self.words = regex.compile(SPLIT).findall
+        self.any_words, self.plain_words = regex.compile(SPLIT).findall, re.compile(PLAIN_SPLIT).findall
         self.memo: dict[str, tuple] = {}
 
     def _gone(self, q: int, t: int, until: int) -> bool:
@@ -95,48 +103,59 @@ class _Automaton:
             _, q, born = self.parts[q]
             until = min(until, born)
 
+    def _there(self, q: int, t: int, until: int) -> bool:
+        """Whether the state behind q had arc t before the gadget of rank ``until``."""
+        while not self._gone(q, t, until):
+            if t not in self.parts:
+                return True
+            # Arc u must have been there when uv was added, after that gadget's own removal (which counts for u = v).
+            t, _, born = self.parts[t]
+            until = min(until, born + 1)
+        return False
+
     def arc(self, q: int, t: int) -> bool:
         """Whether the finished automaton has arc t in the state behind q."""
         key = q << 32 | t
         found = self.table.get(key)
         if found is None:
-            found, until, x = True, self.never, t
-            while found:
-                found = not self._gone(q, x, until)
-                if x not in self.parts:
-                    break
-                x, _, born = self.parts[x]
-                # Arc x must have been there when the longer arc was added, after that gadget's own removal (which counts for u = v).
-                until = min(until, born + 1)
-            self.table[key] = found
+            found = self.table[key] = self._there(q, t, self.never)
         return found
 
     def word(self, data: bytes) -> list[int]:
         """The ids of one pre-split word."""
-        n = len(data)
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            node, at, ways = self.ends, end, []
-            while at:
-                node = node.get(data[at - 1])
-                if node is None:
+        n, trie, shorter, size, table = len(data), self.trie, self.shorter, self.size, self.table
+        path: list[int] = []
+        dead: set[int] = set()
+        at = 0
+        while at < n:
+            node, t, i = trie, None, at
+            while i < n and (node := node.get(data[i])) is not None:
+                t = node.get(-1, t)
+                i += 1
+            while True:
+                if t is None:
+                    dead.add(at)
+                    t = path.pop()
+                    at -= size[t]
+                    t = shorter[t]
+                    continue
+                if at + size[t] in dead:
+                    t = shorter[t]
+                    continue
+                if not path:
                     break
-                at -= 1
-                if None in node:
-                    ways.append((at, node[None]))
-            for at, t in reversed(ways):
-                if at == 0 or self.arc(last[at], t):
-                    last[end], start[end] = t, at
+                ok = table.get(path[-1] << 32 | t)
+                if self.arc(path[-1], t) if ok is None else ok:
                     break
-        ids, end = [], n
-        while end:
-            ids.append(last[end])
-            end = start[end]
-        return ids[::-1]
+                t = shorter[t]
+            path.append(t)
+            at += size[t]
+        return path
 
     def encode(self, text: str) -> tuple[list[str], int, list[bytes]]:
         """Ids as decimal strings per word, how many, and the labels emitted on the way back from these ids."""
         memo, said, count, labels = self.memo, [], 0, []
+        words = self.any_words if ODD.search(text) else self.plain_words
         for part in self.cut.split(text) if self.cut and "<" in text else (text,):
             if part in self.special:
                 i = self.special[part]
@@ -144,7 +163,7 @@ class _Automaton:
                 labels.append(self.labels[i])
                 count += 1
                 continue
-            for w in self.words(part):
+            for w in words(part):
                 known = memo.get(w)
                 if known is None:
                     ids = self.word(w.encode("utf-8", "surrogatepass"))
@@ -152,8 +171,9 @@ class _Automaton:
                     if len(w) <= LONG:
                         if len(memo) >= MEMO:
                             memo.clear()
-                            self.table.clear()
                         memo[w] = known
+                        if len(self.table) >= MEMO:
+                            self.table.clear()
                 said.append(known[0])
                 count += known[1]
                 labels.append(known[2])
@@ -200,6 +220,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() == "decoded"]).withColumn("decoded", decoded(F.col(f"`{ids}`")))
 
 
+def tokenized(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """docs with n_tokens (long), ids (array<int>) and round_trip (boolean: decoding the ids gives the text), in one pass."""
+    spec = _source(docs, path)
+
+    @F.pandas_udf("n_tokens long, ids array<int>, round_trip boolean")
+    def both(column: pd.Series) -> pd.DataFrame:
+        a, rows = automaton(spec.value), []
+        for t in column:
+            said, n, _ = a.encode(t or "")
+            ids = [int(i) for w in said for i in w.split(",")]
+            rows.append((n, ids, b"".join([a.labels[i] for i in ids]).decode("utf-8", "replace") == (t or "")))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids", "round_trip"])
+
+    df = docs.drop(*[c for c in docs.columns if c.lower() in {"n_tokens", "ids", "round_trip"}])
+    return df.withColumn("_t", both(F.coalesce(F.col(f"`{text}`"), F.lit("")))).select(*df.columns, "_t.*")
+
+
 def encode_digest(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """keep, n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass, without building arrays of ids."""
     spec = _source(docs, path)

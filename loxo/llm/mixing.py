@@ -27,7 +27,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,19 +48,19 @@ def _ranked(df: DataFrame, key: list[str], n: int, place: str) -> DataFrame:
     def local(batches):
         last, seen = None, 0
         for b in batches:
-            src = b["_src"].to_numpy()
+            if not b.num_rows:
+                continue
+            src = b.column(b.schema.get_field_index("_src")).to_numpy(zero_copy_only=False)
             change = np.flatnonzero(src[1:] != src[:-1]) + 1
             starts = np.concatenate([[0], change]).astype(int)
-            at = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
-            if len(b) and src[0] == last:
-                at[: change[0] if len(change) else len(b)] += seen
-            if len(b):
-                last, seen = src[-1], int(at[-1]) + 1
-            b["_at"] = at.astype("int64")
-            yield b
+            at = np.arange(len(src)) - np.repeat(starts, np.diff(np.append(starts, len(src))))
+            if src[0] == last:
+                at[: change[0] if len(change) else len(src)] += seen
+            last, seen = src[-1], int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], names=[*b.schema.names, "_at"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _at long"
-    dealt = df.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInPandas(local, schema).withColumn("_part", F.spark_partition_id())
+    dealt = df.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(local, schema).withColumn("_part", F.spark_partition_id())
     dealt = checkpointed(dealt)
     counts = dealt.groupBy("_src", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_src").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

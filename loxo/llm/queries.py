@@ -69,17 +69,27 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def vocabulary() -> str:
+    """The tokenizer file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """path: the tokenizer file; that of the installed public tokenizers unless given."""
     from .bpe import encode_digest
 
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.json")
+    path = path or vocabulary()
     return encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), path, ["doc_id"])
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -113,6 +123,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
     "op7_bpe": op7_bpe,
+    "op8_neighbours": op8_neighbours,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
 }
