@@ -26,13 +26,14 @@ Signatures (equal-size bands, partitions of the feature domain, subsets):
   partner under SMALL do both.
 
 Copies are joined by the hash of their set beforehand and only their class is
-signed.  Rows that share a signature are grouped in one exchange; each bucket's
-smallest class is compared with the others (so a bucket of n makes n - 1
-pairs), and links are contracted to components.  Only pairs of a bucket whose
-components still differ after that are compared too, so no link between
-components is lost, and no pairs are made within a group that holds together.
-Comparisons read the whole sets, made again from the texts of the candidates
-alone, which a Bloom filter of fixed size picks out of the table.
+signed.  Rows that share a signature are grouped in one exchange; the smallest
+class of a bucket is its pivot.  Each class is compared with the smallest of
+its pivots, links are contracted to components, and this is done once more for
+classes that still have a pivot in another component; so a bucket of n costs n
+comparisons.  Then only pairs of a bucket whose components still differ are
+compared too: no link between components is lost, and no pairs are made within
+a group that holds together.  Comparisons read whole texts, which a Bloom
+filter of fixed size picks out of the table for the candidates alone.
 
 Defined cases: null and empty texts, or white space only, have the empty set,
 size 0, and are linked with nothing; equal sets are linked; rows with equal
@@ -49,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import checkpointed, partitions
+from .common import checkpointed, partitions, release, written
 from .shingles import U, batched, mixed, shingle_sets
 
 SMALL, SEEDS, WIDTH = 40, 4, 5
@@ -197,81 +198,109 @@ def _bloom(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(parts.treeAggregate(none, either, either))
 
 
-def _sets_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(class, set): the sets of candidates(class, doc_id), from their texts."""
+def _texts_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(class, text) of candidates(class, doc_id).  Where rows repeat a doc_id, texts of other classes come along; _linked leaves them out."""
     bloom = _bloom(candidates.where("doc_id is not null").select("doc_id"))
 
-    def make(batches):
+    def pick(batches):
         bits = np.frombuffer(bloom.value, np.uint8)
         for batch in batches:
             ids = batch.column(0)
             b = _bits(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             hit = ((bits[b // U(8)] >> (U(7) - b % U(8)).astype(np.uint8)) & 1).all(0) | ids.is_null().to_numpy(zero_copy_only=False)
-            texts = batch.column(1).take(pa.array(np.flatnonzero(hit))).to_pylist()
-            for _, part in batched(texts):
-                found = shingle_sets(part, WIDTH)
-                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "set"])
+            yield batch.take(pa.array(np.flatnonzero(hit)))
 
-    wanted = candidates.select("class").distinct()
-    return docs.mapInArrow(make, "class long, set binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    c = candidates.select("class", F.col("doc_id").alias("_id"))
+    return docs.mapInArrow(pick, "doc_id long, text string").join(c, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose sets are similar enough."""
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose sets are similar enough; sets are made from the whole texts."""
 
     def compare(batches):
+        memo: dict = {}
+
+        def set_of(c: int, text: str | None):
+            s = memo.get(c)
+            if s is None:
+                s = shingle_sets([(text or "").encode("utf-8", "surrogatepass")], WIDTH)[0]
+                if class_id(s) != c:
+                    return None
+                if len(memo) >= 64:
+                    memo.clear()
+                memo[c] = s
+            return s
+
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i in range(len(a)):
+                y = set_of(b[i], batch.column(3)[i].as_py())
+                x = set_of(a[i], batch.column(2)[i].as_py())
+                if x is None or y is None:
+                    continue
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
                 if common * 100 >= (len(x) + len(y) - common) * 80:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    first = sets.select(F.col("class").alias("a"), F.col("set").alias("x"))
-    second = sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
+    first = texts.select(F.col("class").alias("a"), F.col("text").alias("x"))
+    second = texts.select(F.col("class").alias("b"), F.col("text").alias("y"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def _can_match(a: str, b: str):
-    return F.col(a) * 5 >= F.col(b) * 4, F.col(b) * 5 >= F.col(a) * 4
+    return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
+
 
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stars: int = 2) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles (long), component_id (long).
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles (long), component_id (long)."""
+    stars: rounds in which each class is compared with one pivot only, the smallest in another component; most components are whole after the first.
+    """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = slim.mapInArrow(_signed, "sig long, class long, n int, doc_id long")
-    met = signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long, n int, doc_id long, pivot long, pivot_n int")
-    met = checkpointed(met)
+    met = written(signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long, n int, doc_id long, pivot long, pivot_n int"))
+    release(spark)
     every = met.where("n < 0").select("doc_id", "class", (-1 - F.col("n")).cast("long").alias("n_shingles"))
     shared = met.where("n > 0")
     classes = every.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
 
-    stars = checkpointed(shared.where(_can_match("n", "pivot_n")[0] & _can_match("n", "pivot_n")[1]).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct())
+    pivots = written(shared.where(_can_match("n", "pivot_n")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct())
     members = shared.select("class").unionByName(shared.select(F.col("pivot").alias("class"))).distinct()
-    candidates = checkpointed(classes.join(members, "class", "left_semi").select("class", F.col("first").alias("doc_id")))
-    sets = checkpointed(_sets_of(slim, candidates))
-    links = checkpointed(_linked(stars, sets))
-    labels = connected_components(links, checkpointed)
-
-    # What is left: pairs of a bucket in different components, but for those with the pivot, which were compared.
-    own, of_pivot = labels.select(F.col("node").alias("class"), F.col("component").alias("c")), labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
-    known = shared.join(own, "class", "left").join(of_pivot, "pivot", "left").select("sig", "class", "n", F.coalesce("c", "class").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
-    odd = known.where("c != pc").select("sig", F.col("class").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
+    candidates = written(classes.join(members, "class", "left_semi").select("class", F.col("first").alias("doc_id")))
+    texts = written(_texts_of(slim, candidates))
+    release(spark)
+
+    links = done = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "node long, component long")
+    named = lambda c, as_: labels.select(F.col("node").alias(c), F.col("component").alias(as_))
+    for _ in range(stars):
+        still = pivots.join(done, ["a", "b"], "left_anti").join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        pairs = written(still.groupBy("a").agg(F.min("b").alias("b")))
+        if not pairs.limit(1).count():
+            break
+        done = done.unionByName(pairs)
+        links = links.unionByName(written(_linked(pairs, texts)))
+        labels = connected_components(links, checkpointed)
+
+    # What is left: pairs of a bucket in different components.
+    known = shared.join(named("class", "c"), "class", "left").join(named("pivot", "pc"), "pivot", "left").withColumns({"c": F.coalesce("c", "class"), "pc": F.coalesce("pc", "pivot")})
+    odd = known.where("c != pc").select("sig", F.col("class").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), "pivot", "pivot_n")
     rest = known.select("sig", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), (F.col("c") != F.col("pc")).alias("odd"))
-    across = odd.join(rest, "sig").where("ac != bc and (a < b or not odd)").where(_can_match("an", "bn")[0] & _can_match("an", "bn")[1])
-    more = _linked(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-    more = checkpointed(more)
+    across = odd.join(rest, "sig").where("ac != bc and (a < b or not odd)").where(_can_match("an", "bn")).select("a", "b")
+    across = across.unionByName(odd.where(_can_match("an", "pivot_n")).select("a", F.col("pivot").alias("b")))
+    either = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(either, ["a", "b"], "left_anti"))
+    more = written(_linked(pairs, texts))
+    release(spark)
     if more.limit(1).count():
-        between = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        labels = connected_components(links.unionByName(between.select("a", "b")), checkpointed)
+        labels = connected_components(links.unionByName(more), checkpointed)
 
-    named = classes.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    names = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = named.join(names, "component").select("class", "component_id")
+    named_classes = classes.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    names = named_classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_class = named_classes.join(names, "component").select("class", "component_id")
     out = every.join(by_class, "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
