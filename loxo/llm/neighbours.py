@@ -45,13 +45,13 @@ BLOCK, MEETING = 256, 192
 
 @dataclass(frozen=True)
 class Descent:
-    degree: int = 40
+    degree: int = 48
     trees: int = 3
-    rounds: int = 5
+    rounds: int = 7
     share: float = 0.5
     best: int = 8
-    beam: int = 64
-    hops: int = 3
+    beam: int = 128
+    hops: int = 4
     seed: int = 11
 
 
