@@ -181,6 +181,18 @@ _route_pts = "select route_id * 100 + seq as id, lat, lon from {route_points}"
 pairs["nogo_points"] = lambda e: f"select cast(floor(id / 100) as bigint) as route_id, zone, count(*) as n_points from ({_inside(e, _route_pts)}) i group by cast(floor(id / 100) as bigint), zone"
 
 
+def _hits(e: str) -> str:
+    """Routes that touch a zone: a step crosses one of its edges, or a point lies inside."""
+    step = f"select route_id, seq, plat, plon, lat, lon from ({_steps}) s where plat is not null"
+    cells = f"select * from ({step}) s{gen(e, 'gy', 'floor(least(plat, lat) * 20)', 'floor(greatest(plat, lat) * 20)', 'cy')}{gen(e, 'gx', 'floor(least(plon, lon) * 20)', 'floor(greatest(plon, lon) * 20)', 'cx')}"
+    edges = f"select zone, lat as y0, lon as x0, lead(lat) over (partition by zone order by k) as y1, lead(lon) over (partition by zone order by k) as x1 from ({_corners}) c"
+    near = f"select * from (select * from ({edges}) f where y1 is not null) e{gen(e, 'hy', 'floor(least(y0, y1) * 20)', 'floor(greatest(y0, y1) * 20)', 'ey')}{gen(e, 'hx', 'floor(least(x0, x1) * 20)', 'floor(greatest(x0, x1) * 20)', 'ex')}"
+    side = lambda a, b, p: f"(({b[1]} - {a[1]}) * ({p[0]} - {a[0]}) - ({b[0]} - {a[0]}) * ({p[1]} - {a[1]}))"
+    s0, s1, z0, z1 = ("plat", "plon"), ("lat", "lon"), ("y0", "x0"), ("y1", "x1")
+    crossing = f"{side(s0, s1, z0)} * {side(s0, s1, z1)} <= 0 and {side(z0, z1, s0)} * {side(z0, z1, s1)} <= 0"
+    return f"select distinct route_id, zone from (select route_id, zone from ({cells}) c join ({near}) n on c.cy = n.ey and c.cx = n.ex where {crossing} union all select cast(floor(id / 100) as bigint) as route_id, zone from ({_inside(e, _route_pts)}) i) u"
+
+
 def _knn(k: int) -> str:
     # Cells of 1/20 degree around the query; the lattice keeps the 30 nearest well inside the ring of cells.
     d2 = "(n.lat - q.lat) * (n.lat - q.lat) + (n.lon - q.lon) * (n.lon - q.lon)"
@@ -219,6 +231,8 @@ both["route_score"] = f"select route_id, round({_score}, 4) as score from ({_rep
 both["route_rank"] = f"select route_id, rank, round(score, 4) as score from (select route_id, round(score, 4) as score, row_number() over (order by round(score, 4), route_id) as rank from (select route_id, {_score} as score from ({_report}) r where total_km > 1 and ref_km > 1) s) t where rank <= 10"
 both["cum_distance"] = f"select route_id, seq, {m('sum(len) over (partition by route_id order by seq rows between unbounded preceding and current row)')} as cum_m from ({_legs}) l"
 
+pairs["nogo_hits"] = _hits
+
 
 def _resample(e: str, n: int = 8) -> str:
     cum = f"select route_id, seq, lat, lon, plat, plon, len, sum(len) {_w[:-1]} rows between unbounded preceding and current row) as cum, sum(len) over (partition by route_id) as total from ({_legs}) l"
@@ -334,9 +348,10 @@ def _sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .operators.routing import QUERIES as routing
+    from .operators.text import QUERIES as text
 
     found = {k: _sql_query(v) for k, v in both.items()} | {k: _sql_query(f(SPARK)) for k, f in pairs.items()}
-    return found | {"components": components_query} | routing
+    return found | {"components": components_query} | routing | text
 
 
 def oracle_sql() -> dict[str, str]:
