@@ -18,12 +18,17 @@ Signatures (equal-size bands, partitions of the feature domain, subsets):
   difference: it has two equal parts that aren't empty; before it every group
   that isn't thin, in r or in s, holds two differences or more, of which there
   are at most K/2; so both sets sign j, and meet.
+* Passages that many documents share would meet in thin signatures.  Leaving
+  the same features out of all sets makes no difference larger, so sets sign
+  first without frequent features, those that a count-min sketch of fixed size
+  over all texts marks, and K stays that of the whole sets.
 * If there is no such group, each has at most K/2 groups that aren't thin, and
-  both know this of themselves.  Such sets sign again under another hash, and
+  both know this of themselves.  Such sets sign again, whole and under another hash, and
   after ``SEEDS`` hashes in one signature of the scheme.
 * Sets under ``SMALL`` features sign instead with the 2-subsets of their K + 2
-  smallest hashes, of which partners share two at least; sets that can have a
-  partner under SMALL do both.
+  smallest hashes, of which partners share two at least (without the frequent
+  ones first, and whole too if fewer than K + 2 are left); sets that can have
+  a partner under SMALL do both.
 
 Copies are joined by the hash of their set beforehand and only their class is
 signed.  Rows that share a signature are grouped in one exchange; the smallest
@@ -55,6 +60,7 @@ from .shingles import U, batched, mixed, shingle_sets
 
 SMALL, SEEDS, WIDTH = 40, 4, 5
 BLOOM_BITS = 1 << 24
+CELLS, STRETCHES = 1 << 21, 64
 _SALT = U(0xA0761D6478BD642F)
 _WAY = (U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3))
 
@@ -82,16 +88,22 @@ def class_id(s: np.ndarray) -> int:
         return int(mixed(np.array([total + U(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _small(s: np.ndarray, k: int) -> np.ndarray:
+def _pairs(s: np.ndarray, k: int, tag: int) -> np.ndarray:
     head = s[: k + 2]
     a, b = np.triu_indices(len(head), 1)
-    return mixed(head[a] * _WAY[0] + head[b] * _WAY[1] + U(7))
+    return mixed(head[a] * _WAY[0] + head[b] * _WAY[1] + U(tag))
 
 
-def _scheme(s: np.ndarray, band: int, k: int) -> np.ndarray:
+def _small(s: np.ndarray, rare: np.ndarray, k: int) -> np.ndarray:
+    if len(rare) >= k + 2:
+        return _pairs(rare, k, 7)
+    return np.concatenate([_pairs(rare, k, 7), _pairs(s, k, 8)])
+
+
+def _scheme(s: np.ndarray, rare: np.ndarray, band: int, k: int) -> np.ndarray:
     groups, need, out = _groups(band), k // 2 + 1, []
     for seed in range(SEEDS):
-        x = s if seed == 0 else np.sort(mixed(s ^ (_SALT + U(seed))))
+        x = rare if seed == 0 else np.sort(mixed(s ^ (_SALT + U(seed))))
         cell = ((x >> U(32)) * U(3 * groups)) >> U(32)
         cut = np.searchsorted(cell, np.arange(3 * groups + 1, dtype=np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(x + _SALT))])
@@ -108,46 +120,91 @@ def _scheme(s: np.ndarray, band: int, k: int) -> np.ndarray:
     return np.concatenate([*out, mixed(np.array([band], np.uint64) + _SALT)])
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of a set; none where only an equal set can be a partner."""
+def signatures(s: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
+    """All signatures of a set; none where only an equal set can be a partner.  frequent marks features to be left out where the rest will do."""
     n = len(s)
     largest = n * 5 // 4
     if (n + largest) // 9 == 0:
         return np.empty(0, np.uint64)
     out = []
+    rare = s if frequent is None else s[~frequent]
     with np.errstate(over="ignore"):
         if n * 4 < SMALL * 5 - 4 or n < SMALL:
-            out.append(_small(s, (n + largest) // 9))
+            out.append(_small(s, rare, (n + largest) // 9))
         if largest >= SMALL:
             band = max(int(np.searchsorted(_EDGES, n, side="right")) - 1, 0)
             if n >= SMALL:
-                out.append(_scheme(s, band, (n + min(largest, _EDGES[band + 1] - 1)) // 9))
+                out.append(_scheme(s, rare, band, (n + min(largest, _EDGES[band + 1] - 1)) // 9))
                 if largest >= _EDGES[band + 1]:
-                    out.append(_scheme(s, band + 1, (n + largest) // 9))
+                    out.append(_scheme(s, rare, band + 1, (n + largest) // 9))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _signed(batches):
-    """Rows (sig, class, n, doc_id): a row per signature with n > 0, and per document one with n = -1 - size."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for first, part in batched(texts):
-            sigs, cls, size, own = [], [], [], []
-            for s in shingle_sets(part, WIDTH):
-                g, c = signatures(s), class_id(s)
-                sigs.append(g)
-                own.append(c)
-                size.append(len(s))
-                cls.append(len(g))
-            lengths, own = np.array(cls), np.array(own, np.int64)
-            size = np.array(size, np.int32)
-            docs = ids.slice(first, len(part))
-            spread = mixed(np.arange(len(part), dtype=np.uint64) + own.view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(own), pa.array(-1 - size), docs], names=["sig", "class", "n", "doc_id"])
-            total = int(lengths.sum())
-            if total:
-                flat = np.concatenate(sigs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(own, lengths)), pa.array(np.repeat(size, lengths)), pa.nulls(total, pa.int64())], names=["sig", "class", "n", "doc_id"])
+def _cells(x: np.ndarray) -> np.ndarray:
+    return np.stack([mixed(x + _WAY[i]) % U(CELLS) for i in range(2)]).astype(np.int64)
+
+
+def _frequent(docs: DataFrame):
+    """Which cells of two hashes hold frequent features, as a broadcast of two bitmaps of CELLS bits whatever the corpus.
+
+    A count-min sketch over all texts: each partition counts into 2 * CELLS
+    cells, the counts are added up by stretches of cells in one exchange, and
+    cells above a limit (256, and four times the mean) are marked.
+    """
+    width = CELLS // STRETCHES
+
+    def count(batches):
+        counts = np.zeros((2, CELLS), np.int64)
+        for batch in batches:
+            for _, part in batched(batch.column(0).to_pylist()):
+                sets = shingle_sets(part, WIDTH)
+                if sets:
+                    for row, cell in enumerate(_cells(np.concatenate(sets))):
+                        counts[row] += np.bincount(cell, minlength=CELLS)
+        if counts.any():
+            short = np.minimum(counts, 65535).astype(np.uint16).reshape(2 * STRETCHES, width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(2 * STRETCHES), pa.int32()), pa.array([r.tobytes() for r in short], pa.binary())], names=["stretch", "counts"])
+
+    def add(key, rows):  # a stretch of 64 KB from each partition
+        total = np.zeros(width, np.int64)
+        for r in rows.column("counts"):
+            total += np.frombuffer(r.as_buffer(), np.uint16)
+        marked = np.packbits(total > np.maximum(256, 4 * total.mean()))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([marked.tobytes()], pa.binary())], names=["stretch", "bits"])
+
+    rows = docs.select("text").mapInArrow(count, "stretch int, counts binary").groupBy("stretch").applyInArrow(add, "stretch int, bits binary").collect()
+    bits = np.zeros((2 * STRETCHES, width // 8), np.uint8)
+    for r in rows:
+        bits[r.stretch] = np.frombuffer(bytes(r.bits), np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(bits.reshape(2, CELLS // 8))
+
+
+def _marked(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    a, b = _cells(x)
+    return (((bits[0][a >> 3] >> (7 - (a & 7))) & (bits[1][b >> 3] >> (7 - (b & 7)))) & 1).astype(bool)
+
+
+def _signing(frequent):
+    """Makes rows (sig, class, n, doc_id): a row per signature with n > 0, and per document one with n = -1 - size."""
+
+    def signed(batches):
+        names = ["sig", "class", "n", "doc_id"]
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for first, part in batched(texts):
+                sets = shingle_sets(part, WIDTH)
+                size = np.array([len(s) for s in sets], np.int32)
+                own = np.array([class_id(s) for s in sets], np.int64)
+                marks = np.split(_marked(frequent.value, np.concatenate(sets)), np.cumsum(size)[:-1]) if len(sets) else []
+                sigs = [signatures(s, f) for s, f in zip(sets, marks, strict=True)]
+                lengths = np.array([len(g) for g in sigs])
+                spread = mixed(np.arange(len(part), dtype=np.uint64) + own.view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(own), pa.array(-1 - size), ids.slice(first, len(part))], names=names)
+                if total := int(lengths.sum()):
+                    flat = np.concatenate(sigs).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(own, lengths)), pa.array(np.repeat(size, lengths)), pa.nulls(total, pa.int64())], names=names)
+
+    return signed
 
 
 def _shared(batches):
@@ -261,7 +318,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = slim.mapInArrow(_signed, "sig long, class long, n int, doc_id long")
+    signed = slim.mapInArrow(_signing(_frequent(slim)), "sig long, class long, n int, doc_id long")
     met = written(signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long, n int, doc_id long, pivot long, pivot_n int"))
     release(spark)
     every = met.where("n < 0").select("doc_id", "class", (-1 - F.col("n")).cast("long").alias("n_shingles"))

@@ -78,6 +78,9 @@ def test_partners_share_a_signature():
             if 100 * common >= 80 * (len(r) + len(s) - common) and common < max(len(r), len(s)):
                 seen += 1
                 assert len(np.intersect1d(signatures(r), signatures(s)))
+                for share in (0.3, 0.8):  # any features may be called frequent
+                    of = lambda x, share=share: x % np.uint64(1000) < np.uint64(1000 * share)
+                    assert len(np.intersect1d(signatures(r, of(r)), signatures(s, of(s))))
     assert seen > 200
 
 
