@@ -30,7 +30,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +39,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SIZE = 1 << 18
+COUNTERS = 1 << 24
 MEMO = 500_000
 
 
@@ -195,23 +195,28 @@ def _fit_layer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
+def _cells(word: str) -> list[int]:
+    """Where the word and its longer prefixes are counted."""
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % COUNTERS for x in names(word) if x[0] == "=" or x[0] == "<" and len(x) > 4]
+
+
 def _windows(texts: list[str], toxic: list[int], settings: Settings) -> tuple[list[list[str]], list[list[int]]]:
-    """Windows around the tokens that look toxic, labelled, and one more of each text."""
-    bad, good = Counter(), Counter()
+    """Windows around the tokens that look toxic, labelled, and one more of each text.
+
+    Documents per feature are counted in two tables of fixed size, so memory doesn't grow with the vocabulary.
+    """
+    counts = np.zeros((2, COUNTERS), np.uint16)
     words = [TOKEN.findall(t.lower()) for t in texts]
-    known: dict[str, list[str]] = {}
     for ws, y in zip(words, toxic, strict=True):
-        seen = set()
-        for w in set(ws):
-            if w not in known:
-                known[w] = [x for x in names(w) if x[0] != ">" and len(x) > 4 or x[0] == "="]
-            seen.update(known[w])
-        (bad if y else good).update(seen)
+        cells = np.unique(np.fromiter((c for w in set(ws) for c in _cells(w)), np.int64))
+        counts[int(y)][cells] += 1
     n1, n0 = sum(toxic) + 1, len(toxic) - sum(toxic) + 1
-    lexicon = {f for f, k in bad.items() if k >= settings.min_docs and math.log((k + 0.5) / n1) - math.log((good[f] + 0.5) / n0) > settings.log_odds}
+    bad, good = counts[1].astype(np.float32), counts[0].astype(np.float32)
+    lexicon = (bad >= settings.min_docs) & (np.log((bad + 0.5) / n1) - np.log((good + 0.5) / n0) > settings.log_odds)
+    suspect = {w for ws in words for w in set(ws) if any(lexicon[c] for c in _cells(w))}
     rows, labels, a = [], [], settings.around
     for ws, y in zip(words, toxic, strict=True):
-        hits = [i for i, w in enumerate(ws) if not lexicon.isdisjoint(known[w])]
+        hits = [i for i, w in enumerate(ws) if w in suspect]
         marked = set(hits) if y else set()
         middle = zlib.crc32(" ".join(ws[:3]).encode("utf-8", "surrogatepass")) % max(len(ws), 1)
         last = -1
