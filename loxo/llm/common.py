@@ -70,6 +70,18 @@ def _removed(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Within it, what is planned and run hands Python at most ``rows`` rows at a time, for rows that hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of plans that nothing refers to any more; it finds them when the JVM collects garbage."""
     gc.collect()

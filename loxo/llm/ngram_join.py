@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import checkpointed, partitions, release, written
+from .common import checkpointed, partitions, release, small_batches, written
 from .shingles import U, batched, mixed, shingle_sets
 
 SMALL, SEEDS, WIDTH = 40, 4, 5
@@ -318,8 +318,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = slim.mapInArrow(_signing(_frequent(slim)), "sig long, class long, n int, doc_id long")
-    met = written(signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long, n int, doc_id long, pivot long, pivot_n int"))
+    with small_batches(spark):
+        frequent = _frequent(slim)
+    signed = slim.mapInArrow(_signing(frequent), "sig long, class long, n int, doc_id long")
+    with small_batches(spark, 4000):
+        met = written(signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long, n int, doc_id long, pivot long, pivot_n int"))
     release(spark)
     every = met.where("n < 0").select("doc_id", "class", (-1 - F.col("n")).cast("long").alias("n_shingles"))
     shared = met.where("n > 0")
@@ -328,7 +331,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     pivots = written(shared.where(_can_match("n", "pivot_n")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct())
     members = shared.select("class").unionByName(shared.select(F.col("pivot").alias("class"))).distinct()
     candidates = written(classes.join(members, "class", "left_semi").select("class", F.col("first").alias("doc_id")))
-    texts = written(_texts_of(slim, candidates))
+    with small_batches(spark):
+        texts = written(_texts_of(slim, candidates))
     release(spark)
 
     links = done = spark.createDataFrame([], "a long, b long")
@@ -340,7 +344,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         if not pairs.limit(1).count():
             break
         done = done.unionByName(pairs)
-        links = links.unionByName(written(_linked(pairs, texts)))
+        with small_batches(spark, 500):
+            links = links.unionByName(written(_linked(pairs, texts)))
         labels = connected_components(links, checkpointed)
 
     # What is left: pairs of a bucket in different components.
@@ -351,7 +356,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     across = across.unionByName(odd.where(_can_match("an", "pivot_n")).select("a", F.col("pivot").alias("b")))
     either = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(either, ["a", "b"], "left_anti"))
-    more = written(_linked(pairs, texts))
+    with small_batches(spark, 500):
+        more = written(_linked(pairs, texts))
     release(spark)
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more), checkpointed)
