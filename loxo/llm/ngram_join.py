@@ -32,8 +32,8 @@ Signatures (equal-size bands, partitions of the feature domain, subsets):
 
 Copies are joined by the hash of their set beforehand and only their class is
 signed.  Rows that share a signature are grouped in one exchange; the smallest
-class of a bucket is its pivot.  Each class is compared with the smallest of
-its pivots, links are contracted to components, and this is done once more for
+class of a bucket is its pivot.  Each class is compared with the one of its
+pivots with which it shares most signatures, links are contracted to components, and this is done once more for
 classes that still have a pivot in another component; so a bucket of n costs n
 comparisons.  Then only pairs of a bucket whose components still differ are
 compared too: no link between components is lost, and no pairs are made within
@@ -314,7 +314,7 @@ def _can_match(a: str, b: str):
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stars: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (long), component_id (long).
 
-    stars: rounds in which each class is compared with one pivot only, the smallest in another component; most components are whole after the first.
+    stars: rounds in which each class is compared with one pivot only, that of another component with which it shares most signatures; most components are whole after the first.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     shared = met.where("n > 0")
     classes = every.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
 
-    pivots = written(shared.where(_can_match("n", "pivot_n")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct())
+    pivots = written(shared.where(_can_match("n", "pivot_n")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared")))
     members = shared.select("class").unionByName(shared.select(F.col("pivot").alias("class"))).distinct()
     candidates = written(classes.join(members, "class", "left_semi").select("class", F.col("first").alias("doc_id")))
     with small_batches(spark):
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = lambda c, as_: labels.select(F.col("node").alias(c), F.col("component").alias(as_))
     for _ in range(stars):
         still = pivots.join(done, ["a", "b"], "left_anti").join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        pairs = written(still.groupBy("a").agg(F.min("b").alias("b")))
+        pairs = written(still.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")))
         if not pairs.limit(1).count():
             break
         done = done.unionByName(pairs)
