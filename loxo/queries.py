@@ -139,7 +139,9 @@ def _placed(e: str) -> str:
     per = f"select kind, sum(case when px is null then 0 else sqrt((x - px) * (x - px) + (y - py) * (y - py)) end) as perimeter from (select *, lag(x) over (partition by kind order by i) as px, lag(y) over (partition by kind order by i) as py from ({_polygon(e)}) p) q group by kind"
     d = G.destination(S, "atan2(x, y) + radians(cast(30 as double))", "cast(50000 as double) / perimeter * sqrt(x * x + y * y)")
     zero = "x * x + y * y < cast(0.000000000001 as double)"
-    return f"select candidate, p.kind, cast(i as bigint) as i, {deg(f'case when {zero} then slat else {d[0]} end')} as lat, {deg(f'case when {zero} then slon else {d[1]} end')} as lon from ({_polygon(e)}) p join ({per}) r on p.kind = r.kind join {{candidates}} c on c.candidate < 20"
+    # Spark places the shapes, a fixed table, at every candidate; the comparison's SQL covers the first 20.
+    hint, candidates = ("/*+ broadcast(p), broadcast(r) */ ", "cross join {candidates} c") if e == SPARK else ("", "join {candidates} c on c.candidate < 20")
+    return f"select {hint}candidate, p.kind, cast(i as bigint) as i, {deg(f'case when {zero} then slat else {d[0]} end')} as lat, {deg(f'case when {zero} then slon else {d[1]} end')} as lon from ({_polygon(e)}) p join ({per}) r on p.kind = r.kind {candidates}"
 
 
 pairs["shape_placed"] = _placed

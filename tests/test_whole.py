@@ -4,7 +4,7 @@ import re
 
 from loxo import queries as own
 
-SF = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
 
 
 def test_texts_are_split_to_their_end(spark, tmp_path):
@@ -18,3 +18,12 @@ def test_texts_are_split_to_their_end(spark, tmp_path):
         c, n = missing.get(d, (0, 0))
         missing[d] = c + len(t), n + sum(not " " <= x <= "~" for x in t)
     assert {r.doc_id: (r.chars, r.missing) for r in own.queries()["glyph_missing"](spark, str(tmp_path)).collect()} == missing
+
+
+def test_shapes_are_placed_at_every_candidate(spark):
+    n = spark.read.parquet(f"{SF01}/supplier.parquet").count()
+    placed = own.queries()["shape_placed"](spark, SF01)
+    sizes = {r.kind: r["count"] for r in own.queries()["shape_vertices"](spark, SF01).groupBy("kind").count().collect()}
+    got = {(r.candidate, r.kind): r["count"] for r in placed.groupBy("candidate", "kind").count().collect()}
+    assert n > 20 and len(got) == n * len(sizes) and all(c == sizes[k] for (_, k), c in got.items())
+    assert "CartesianProduct" not in placed._jdf.queryExecution().executedPlan().toString()
