@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), docs being what its predecessor wrote,
 and returns a DataFrame; all but the last return the columns of documents.
-doc_id is the documents' key: rows that repeat one are copies of a document.
+Rows that share a doc_id, or have none, are separate documents.
 """
 
 from __future__ import annotations
@@ -29,12 +29,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; documents linked with nothing stay."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    left = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    one = left.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_d"))
-    return one.select("doc_id", "_d.*").select(*COLUMNS)
+    """Of each group of near duplicates one document, that with the smallest doc_id (null last); documents linked with nothing stay, whatever their doc_id."""
+    # Rows go by a hash of doc_id and text: those that share it are exact copies.
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+    groups = near_duplicates(rows.select("_row", "text"), doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id", (F.col("n_shingles") == 0).alias("_alone")).distinct()
+    named = groups.where("not _alone").join(rows.select("_row", "doc_id").distinct(), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")).select("_row", F.lit(False).alias("_alone"))
+    kept = first.unionByName(groups.where("_alone").select("_row", "_alone"))
+    left = rows.join(kept, "_row").withColumn("_copy", F.when(F.col("_alone"), F.monotonically_increasing_id()))
+    one = left.groupBy("_row", "_copy").agg(F.min(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("_d"))
+    return one.select("_d.*").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,14 @@ def test_stages_and_run(spark, tmp_path):
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in seen["tokens"]) and len(seen["tokens"]) == len(seen["mixing"])
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, again)) == sorted(map(str, seen["tokens"]))
+
+
+def test_near_duplicates_go_by_row(spark):
+    rnd = random.Random(8)
+    a, b, c, d, e = (" ".join("".join(rnd.choices("aeiorstnlh", k=7)) for _ in range(60)) for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, d), (None, d), (7, d), (8, e), (8, e), (9, ""), (9, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_join(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(3, a), (5, b), (None, c), (7, d), (8, e), (9, ""), (9, ""), (None, None), (None, None)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in out.collect())
