@@ -55,6 +55,13 @@ ARTICLE_NAMED = re.compile(r"(?:^|[\W_])(?:article(?:-?body)?|post-?(?:body|cont
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"body", "html", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u span sub sup mark abbr cite q".split())
+#: Tags that leave an open head open; any other start tag, and text, ends it.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
+#: Tags that end an open svg or math; inside the second set they don't.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN, HTML_WITHIN = frozenset({"svg", "math"}), frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+#: Tags that end an open select, and those that end one within a table.
+ENDS_SELECT, TABLE = frozenset({"select", "input", "textarea"}), frozenset("caption table tbody td tfoot th thead tr".split())
 STAY = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:![^>]*|\?[^>]*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -113,8 +120,24 @@ def blocks_of(page: str) -> list[Block]:
         hidden -= sum(s[0] in HIDDEN for s in stack[upto:])
         del stack[upto:]
 
+    def close_open(names: frozenset[str], unless: frozenset[str]) -> None:
+        """Closes the outermost open element of names that has none of unless within it."""
+        at = len(stack)
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in unless:
+                break
+            if stack[i][0] in names:
+                at = i
+        if at < len(stack):
+            close(at)
+
+    def leave_head() -> None:
+        close_open(frozenset({"head"}), frozenset({"template"}))
+
     def text(t: str) -> None:
         nonlocal linked
+        if hidden and stack[-1][0] == "head" and t.strip(" \t\n\f\r"):
+            leave_head()
         if t and not hidden:
             pieces.append(t)
             if any(s[0] == "a" for s in stack):
@@ -133,6 +156,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m[1]:
+            if name in ("body", "html", "br"):
+                leave_head()
             if name == "p" and not any(s[0] == "p" for s in stack):
                 flush()
             elif name == "br":
@@ -145,6 +170,13 @@ def blocks_of(page: str) -> list[Block]:
                     if name in FORMATS and stack[i][0] in BLOCK:
                         break
             continue
+        if hidden:
+            if name not in IN_HEAD:
+                leave_head()
+            if name in ENDS_FOREIGN:
+                close_open(FOREIGN, HTML_WITHIN)
+            if name in ENDS_SELECT or name in TABLE and any(s[0] == "table" for s in stack):
+                close_open(frozenset({"select"}), frozenset({"template", "table"}))
         if name == "br":
             text(" ")
             continue

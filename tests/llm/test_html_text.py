@@ -30,3 +30,19 @@ def test_table(spark):
     got = sorted((r.page_id, r.n_chars) for r in extract(df).collect())
     assert got == [(1, 6), (1, 6), (2, 0), (3, 599999)]
     assert extract(df.limit(0)).collect() == []
+
+
+def test_elements_left_open():
+    article = "<article>" + STORY + "</article>"
+    assert main_text("<html><head><title>x</title><body>" + article) == WANT
+    assert main_text("<html><head><meta charset=utf-8><link href=a><script>s</script>" + article) == WANT
+    assert main_text("<head><title>x</title>One, two.") == "One, two."
+    assert main_text("<head><title>x</title></body>One, two.") == "One, two."
+    assert main_text("<head><template><p>no</p></template><title>x</title></head><body>" + article) == WANT
+    assert main_text("<head><template><p>no</p>") == ""
+    assert main_text("<article><svg><g><path d='x'>" + STORY + "</article>") == WANT
+    assert main_text("<article><svg><svg><path d='x'>" + STORY + "</article>") == WANT
+    assert main_text("<article><svg><text>no</text><foreignObject><p>no</p></foreignObject></svg>" + STORY + "</article>") == WANT
+    assert main_text("<article><select><option>no<input>" + STORY + "</article>") == WANT
+    assert main_text("<article><table><tr><td><select><option>no<td>One, two.</table></article>") == "One, two."
+    assert main_text("<article><p>One, two.</p><select><option>no</article><p>Out") == "One, two."
