@@ -21,6 +21,11 @@ edges both ways, and scores what it hasn't seen; it ends when nothing better
 turns up, or after ``hops``.  Where norms differ, the ``beam`` longest vectors
 are entries too.
 
+Copies.  Equal vectors (by a 64-bit hash) are one class, and its smallest id
+stands for it in graph and search, for queries too.  What is found is expanded
+exactly: a class's ``k`` + 1 smallest ids are all that an answer can use, and
+the queries of a class share one list of ``k`` + 1, each without itself.
+
 All vectors are indexed.  Recall against brute force is measured in the tests.
 
 Defined cases: vectors that are null, empty, zero, of another length than the
@@ -38,9 +43,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions
+from .common import checkpointed, partitions, written
 
 BLOCK, MEETING = 256, 192
+#: So many queries of a class meet its list in one go.
+SHARE = 64
 
 
 @dataclass(frozen=True)
@@ -292,16 +299,37 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     if not common:
         return rows.sparkSession.createDataFrame([], schema)
     dims, count, largest, least = common[0]
-    vectors = vectors.where(length == dims)
+    classed = vectors.where(length == dims).withColumn("class", F.xxhash64("v"))
+    classes = written(classed.groupBy("class").agg(F.min(F.struct("id", "v", "norm")).alias("r")).select("class", "r.*"))
+    ids = written(classed.select("class", "id"))
+    count = classes.count()
     bits = int(min(48, max(0, np.ceil(np.log2(max(count, 1) / BLOCK)))))
-    v = checkpointed(_prepared(vectors, largest, bits, settings, dims))
+    v = checkpointed(_prepared(classes, largest, bits, settings, dims))
     edges = build_graph(v, settings, n, max(1, min(n, count // (4 * BLOCK))))
-    queries = v.where(is_query).select(F.col("id").alias("q"))
+    asked = ids.where(is_query)
+    sizes = asked.groupBy("class").agg(F.count("*").alias("asked"))
+    queries = classes.join(sizes, "class", "left_semi").select(F.col("id").alias("q"))
     # Where norms differ, long vectors are near many queries: the longest few are entries beside a query's own edges.
-    few = vectors.orderBy(F.desc("norm"), "id").limit(settings.beam).select("id") if least < 0.98 * largest else None
+    few = classes.orderBy(F.desc("norm"), "id").limit(settings.beam).select("id") if least < 0.98 * largest else None
     found = search(v, edges, queries, settings, tuple(r.id for r in few.collect()) if few is not None else ())
-    a, b = vectors.select(F.col("id").alias("q"), F.col("v").alias("x")), vectors.select(F.col("id").alias("cand"), F.col("v").alias("y"))
+    found = found.unionByName(queries.select("q", F.col("q").alias("cand")))
+    a, b = classes.select(F.col("id").alias("q"), F.col("class").alias("asking"), F.col("v").alias("x")), classes.select(F.col("id").alias("cand"), "class", F.col("v").alias("y"))
     exact = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda acc, t: acc + t)
-    scored = found.join(a, "q").join(b, "cand").select("q", "cand", exact.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cand"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("cand").alias("vec_id"), "score")
+    scored = found.join(a, "q").join(b, "cand").select("asking", "class", "cand", exact.alias("score"))
+
+    def best(df: DataFrame, of: str, *order, to: int = k + 1) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(of).orderBy(*order))).where(F.col("rank") <= to)
+
+    # A class beyond the first k + 1 has no id among the first k + 1 ids.
+    near = best(scored, "asking", F.desc("score"), "cand").select("asking", "class", "score")
+    members = best(ids, "class", "id").groupBy("class").agg(F.collect_list("id").alias("ids"))
+    spread = near.join(members, "class").select("asking", "score", F.explode("ids").alias("vec_id"))
+    lists = best(spread, "asking", F.desc("score"), "vec_id").groupBy("asking").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("list")).withColumnRenamed("asking", "class")
+    # Classes that many queries share are dealt out in shares.
+    hot = F.broadcast(sizes.where(F.col("asked") > SHARE).select("class", F.ceil(F.col("asked") / SHARE).alias("shares")))
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = asked.join(hot, "class", "left").select("class", F.pmod(F.xxhash64("id"), shares).alias("share"), F.col("id").alias("query_id"))
+    given = lists.join(hot, "class", "left").select("class", F.explode(F.sequence(F.lit(0).cast("long"), shares.cast("long") - 1)).alias("share"), "list")
+    others = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = dealt.join(given, ["class", "share"]).select("query_id", F.posexplode(others).alias("pos", "t"))
+    return out.select("query_id", (F.col("pos") + 1).alias("rank"), "t.vec_id", "t.score")

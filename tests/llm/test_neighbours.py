@@ -46,3 +46,19 @@ def test_hard_cases(spark):
     assert got == [(0, 1, 10, 1.0), (0, 2, 11, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 10, 0.0), (20, 3, 11, 0.0)]
     assert nearest(frame(spark, [(0, [1, 0])]), F.col("id") % 20 == 0).collect() == []
     assert nearest(frame(spark, []), F.col("id") % 20 == 0).collect() == []
+
+
+def test_copies_give_the_smallest_ids(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(700, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rnd.permutation(700)[:600]] = x[0]  # more than a block
+    x[680:] = x[680]  # fewer than k
+    vectors = list(enumerate(x))
+    got = {}
+    for r in nearest(frame(spark, vectors), F.col("id") % 5 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute(vectors, 20, 5)
+    same = [(i, [1, 0]) for i in range(300)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(frame(spark, same), F.col("id") == 280, k=3).collect())
+    assert got == [(280, 1, 0, 1.0), (280, 2, 1, 1.0), (280, 3, 2, 1.0)]
