@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import geodesy as G
 from .functions.tags import SURFACES
 from .operators.routing import RouteParams, route
+from .plans.session import cut
 
 S, E = ("slat", "slon"), ("elat", "elon")
 
@@ -72,14 +73,18 @@ def explore(candidates: DataFrame, nodes: DataFrame, edges: DataFrame, params: R
     code = F.when(F.lit(enforce_corridor) & (F.col("max_dev_m") > params.half_width_m), "corridor_violated")
     code = code.when(F.col("total_km") < F.lit(min_km if min_km is not None else float("-inf")), "too_short").when(F.col("total_km") > F.lit(max_km if max_km is not None else float("inf")), "too_long")
     ok = rep.withColumn("reject_code", code).where("reject_code is null").join(c.select("candidate", *S, *E), "candidate")
-    # An ordered fold over the best few hundred; result sets are small by contract.
-    pool = ok.orderBy("score", "candidate").limit(max(20 * top, 200))
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("score", "candidate", "slat", "slon", "elat", "elon"))),
-        F.array().cast("array<struct<score:double,candidate:bigint,slat:double,slon:double,elat:double,elon:double>>"),
-        lambda acc, x: F.when((F.size(acc) >= top) | F.exists(acc, lambda y: _close(x, y, sep_km)), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    kept = pool.agg(fold.alias("k")).select(F.posexplode("k").alias("rank", "k")).select((F.col("rank") + 1).alias("rank"), F.col("k.candidate").alias("candidate"))
+    # A round a kept route: the best of all that is not near a kept one.
+    pool = cut(ok.select("score", "candidate", *S, *E))
+    names, kept = ("slat", "slon", "elat", "elon"), []
+    while len(kept) < top:
+        near = F.lit(False)
+        for k in kept:
+            near = near | F.coalesce(_close({x: F.col(x) for x in names}, {x: F.lit(k[x]) for x in names}, sep_km), F.lit(False)) | (F.col("candidate") == k["candidate"])
+        best = pool.where(~near).orderBy("score", "candidate").first()
+        if best is None:
+            break
+        kept.append(best)
+    kept = ok.sparkSession.createDataFrame([(i + 1, k["candidate"]) for i, k in enumerate(kept)], "rank int, candidate long")
     return ok.join(kept, "candidate").join(r.select("candidate", "nodes"), "candidate").orderBy("rank")
 
 

@@ -270,12 +270,19 @@ both["batch_cutoff"] = f"select batch, viable, running, prior < 300 as evaluated
 
 
 def _dedup(e: str, start: str, end: str, sep_km: str, keep: int = 4) -> str:
-    """Per request, the best that aren't within sep of a kept one at both ends: an ordered fold over the best 60."""
+    """Per request, the best that aren't within sep of a kept one at both ends.
+
+    In Spark a round a kept row: the best row of all that is not near a kept one.  The comparison's SQL is an ordered fold over the best 60.
+    """
     top = f"select * from (select grp % 20 as request, candidate, {start[0]} as a, {start[1]} as b, {end[0]} as c, {end[1]} as d, row_number() over (partition by grp % 20 order by round(score, 6), candidate) as r from ({_viable}) v) t where r <= 60"
     near = lambda k, x: f"{G.haversine((f'{k}.a', f'{k}.b'), (f'{x}.a', f'{x}.b'))} < {sep_km} * 1000 and {G.haversine((f'{k}.c', f'{k}.d'), (f'{x}.c', f'{x}.d'))} < {sep_km} * 1000"
     if e == SPARK:
-        fold = f"aggregate(array_sort(collect_list(struct(r, candidate, a, b, c, d))), cast(array() as array<struct<r:int,candidate:bigint,a:double,b:double,c:double,d:double>>), (acc, x) -> case when size(acc) >= {keep} or exists(acc, k -> {near('k', 'x')}) then acc else concat(acc, array(x)) end)"
-        return f"select request, k.candidate as candidate, cast(pos + 1 as bigint) as rank from (select request, {fold} as kept from ({top}) t group by request) q lateral view posexplode(kept) p as pos, k"
+        rows = f"select grp % 20 as request, struct(round(score, 6) as s, candidate, {start[0]} as a, {start[1]} as b, {end[0]} as c, {end[1]} as d) as x from ({_viable}) v"
+        kept = f"select request, array(min(x)) as kept from ({rows}) r group by request"
+        for _ in range(keep - 1):
+            far = f"case when not exists(kept, k -> k.candidate = x.candidate or coalesce({near('k', 'x')}, false)) then x end"
+            kept = f"select k.request, concat(any_value(kept), array_compact(array(min({far})))) as kept from ({rows}) r join ({kept}) k on k.request = r.request group by k.request"
+        return f"select request, k.candidate as candidate, cast(pos + 1 as bigint) as rank from ({kept}) q lateral view posexplode(kept) p as pos, k"
     items = "list(struct_pack(r := r, candidate := candidate, a := a, b := b, c := c, d := d) order by r)"
     fold = f"list_reduce(list_transform({items}, lambda x: [x]), lambda acc, y: case when len(acc) >= {keep} or len(list_filter(acc, lambda k: {near('k', 'y[1]')})) > 0 then acc else list_concat(acc, y) end)"
     return f"select request, kept[i].candidate as candidate, cast(i as bigint) as rank from (select request, kept, unnest(range(1, len(kept) + 1)) as i from (select request, {fold} as kept from ({top}) t group by request) q) z"
