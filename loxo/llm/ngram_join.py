@@ -30,21 +30,31 @@ Signatures (equal-size bands, partitions of the feature domain, subsets):
   ones first, and whole too if fewer than K + 2 are left); sets that can have
   a partner under SMALL do both.
 
-Copies are joined by the hash of their set beforehand and only their class is
-signed.  Rows that share a signature are grouped in one exchange; the smallest
-class of a bucket is its pivot.  Each class is compared with the one of its
-pivots with which it shares most signatures, links are contracted to components, and this is done once more for
-classes that still have a pivot in another component; so a bucket of n costs n
-comparisons.  Then only pairs of a bucket whose components still differ are
-compared too: no link between components is lost, and no pairs are made within
-a group that holds together.  Comparisons read whole texts, which a Bloom
-filter of fixed size picks out of the table for the candidates alone.
+Copies have one class, the hash of their set; each task signs a class once, so a
+group of copies sends as many rows to a signature as there are tasks, not as it
+has members.  Rows that share a signature are grouped in one exchange; the
+smallest class of a bucket is its pivot.  Each class is compared with the one
+of its pivots with which it shares most signatures, links are contracted to
+components, and this is done once more for classes that still have a pivot in
+another component; so a bucket of n costs n comparisons.
+
+Then only buckets with more than one component are looked into.  Their rows
+bring the parities of their set in ``PARITIES`` cells of the hash domain: each
+feature that differs turns one parity, so parities differ in at most K places
+between partners, and pairs beyond that are no partners.  A bucket is compared
+in a stream, in memory, and only the pairs that pass go on to the comparison of
+whole texts.  A bucket of more than ``BIG`` members is first cut by signatures
+under a further hash of all its members, of which partners share one too.  So
+no link between components is lost, no join makes the pairs of a bucket, and
+no pairs are made within a group that holds together.  Texts are picked out of
+the table for the candidates alone, by a Bloom filter of a bounded size.
 
 Defined cases: null and empty texts, or white space only, have the empty set,
 size 0, and are linked with nothing; equal sets are linked; rows with equal
 doc_id are separate documents; a null doc_id is never a component's name if
-the component has another; an empty table gives an empty result; columns
-pass through, except that result columns replace those of their name.
+the component has another; ids may have any type that has an order; an empty
+table gives an empty result; other columns are not returned, so names can't
+clash.
 """
 
 from __future__ import annotations
@@ -53,14 +63,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.components import connected_components
 from .common import checkpointed, partitions, release, small_batches, written
 from .shingles import U, batched, mixed, shingle_sets
 
 SMALL, SEEDS, WIDTH = 40, 4, 5
-BLOOM_BITS = 1 << 24
-CELLS, STRETCHES = 1 << 21, 64
+#: Bits of the Bloom filter a candidate, and the most it may have in all (16 MB); when it is fuller more rows pass, which the join behind it drops.
+BLOOM_EACH, BLOOM_MOST = 8, 1 << 27
+CELLS, STRETCHES = 1 << 22, 128
+#: A feature is frequent if so many classes have it, and so many times the mean of the sketch's cells.
+FREQUENT, ABOVE_MEAN = 64, 4
+PARITIES, BIG = 512, 4096
 _SALT = U(0xA0761D6478BD642F)
 _WAY = (U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3))
 
@@ -144,35 +159,59 @@ def _cells(x: np.ndarray) -> np.ndarray:
     return np.stack([mixed(x + _WAY[i]) % U(CELLS) for i in range(2)]).astype(np.int64)
 
 
+def _unseen(own: list[int], seen: set) -> list[int]:
+    """Places of the classes that the task hasn't met yet."""
+    out = []
+    for i, c in enumerate(own):
+        if c not in seen:
+            seen.add(c)
+            out.append(i)
+    return out
+
+
 def _frequent(docs: DataFrame):
     """Which cells of two hashes hold frequent features, as a broadcast of two bitmaps of CELLS bits whatever the corpus.
 
-    A count-min sketch over all texts: each partition counts into 2 * CELLS
-    cells, the counts are added up by stretches of cells in one exchange, and
-    cells above a limit (256, and four times the mean) are marked.
+    A count-min sketch over all texts: each task counts its classes into
+    2 * CELLS cells, which are added up by stretches of cells, beyond 64 tasks
+    in two steps, so that no task holds a row of every other.
     """
     width = CELLS // STRETCHES
 
     def count(batches):
-        counts = np.zeros((2, CELLS), np.int64)
+        counts, seen = np.zeros((2, CELLS), np.uint32), set()
         for batch in batches:
             for _, part in batched(batch.column(0).to_pylist()):
                 sets = shingle_sets(part, WIDTH)
-                if sets:
-                    for row, cell in enumerate(_cells(np.concatenate(sets))):
-                        counts[row] += np.bincount(cell, minlength=CELLS)
+                new = _unseen([class_id(s) for s in sets], seen)
+                if new:
+                    for row, cell in enumerate(_cells(np.concatenate([sets[i] for i in new]))):
+                        np.add.at(counts[row], cell, np.uint32(1))
         if counts.any():
-            short = np.minimum(counts, 65535).astype(np.uint16).reshape(2 * STRETCHES, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(2 * STRETCHES), pa.int32()), pa.array([r.tobytes() for r in short], pa.binary())], names=["stretch", "counts"])
+            yield stretches(dict(enumerate(counts.reshape(2 * STRETCHES, width))))
+
+    def stretches(sums):
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(r, 65535).astype(np.uint16).tobytes() for r in sums.values()], pa.binary())], names=["stretch", "counts"])
+
+    def add_some(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, r in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(r.as_buffer(), np.uint16).astype(np.uint32)
+        if sums:
+            yield stretches(sums)
 
-    def add(key, rows):  # a stretch of 64 KB from each partition
+    def add(key, rows):  # a stretch of 64 KB from each of 64 tasks at most
         total = np.zeros(width, np.int64)
         for r in rows.column("counts"):
             total += np.frombuffer(r.as_buffer(), np.uint16)
-        marked = np.packbits(total > np.maximum(256, 4 * total.mean()))
+        marked = np.packbits(total > np.maximum(FREQUENT, ABOVE_MEAN * total.mean()))
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([marked.tobytes()], pa.binary())], names=["stretch", "bits"])
 
-    rows = docs.select("text").mapInArrow(count, "stretch int, counts binary").groupBy("stretch").applyInArrow(add, "stretch int, bits binary").collect()
+    parts = docs.select("text").mapInArrow(count, "stretch int, counts binary")
+    if docs.rdd.getNumPartitions() > 64:
+        parts = parts.withColumn("task", F.spark_partition_id() % 64).repartition(64, "task").drop("task").mapInArrow(add_some, "stretch int, counts binary")
+    rows = parts.groupBy("stretch").applyInArrow(add, "stretch int, bits binary").collect()
     bits = np.zeros((2 * STRETCHES, width // 8), np.uint8)
     for r in rows:
         bits[r.stretch] = np.frombuffer(bytes(r.bits), np.uint8)
@@ -184,25 +223,28 @@ def _marked(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (((bits[0][a >> 3] >> (7 - (a & 7))) & (bits[1][b >> 3] >> (7 - (b & 7)))) & 1).astype(bool)
 
 
-def _signing(frequent):
-    """Makes rows (sig, class, n, doc_id): a row per signature with n > 0, and per document one with n = -1 - size."""
+def _signing(frequent, kind: pa.DataType):
+    """Makes rows (sig, class, n, doc_id, row): a row per signature of a class with n > 0, and per document one with n = -1 - size."""
 
     def signed(batches):
-        names = ["sig", "class", "n", "doc_id"]
+        names, seen = ["sig", "class", "n", "doc_id", "row"], set()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for first, part in batched(texts):
                 sets = shingle_sets(part, WIDTH)
                 size = np.array([len(s) for s in sets], np.int32)
                 own = np.array([class_id(s) for s in sets], np.int64)
-                marks = np.split(_marked(frequent.value, np.concatenate(sets)), np.cumsum(size)[:-1]) if len(sets) else []
-                sigs = [signatures(s, f) for s, f in zip(sets, marks, strict=True)]
-                lengths = np.array([len(g) for g in sigs])
                 spread = mixed(np.arange(len(part), dtype=np.uint64) + own.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(own), pa.array(-1 - size), ids.slice(first, len(part))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(own), pa.array(-1 - size), batch.column(0).slice(first, len(part)), batch.column(2).slice(first, len(part))], names=names)
+                new = _unseen(own.tolist(), seen)
+                if not new:
+                    continue
+                marks = np.split(_marked(frequent.value, np.concatenate([sets[i] for i in new])), np.cumsum(size[new])[:-1])
+                sigs = [signatures(sets[i], f) for i, f in zip(new, marks, strict=True)]
+                lengths = np.array([len(g) for g in sigs])
                 if total := int(lengths.sum()):
                     flat = np.concatenate(sigs).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(own, lengths)), pa.array(np.repeat(size, lengths)), pa.nulls(total, pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(own[new], lengths)), pa.array(np.repeat(size[new], lengths)), pa.nulls(total, kind), pa.nulls(total, pa.int64())], names=names)
 
     return signed
 
@@ -210,13 +252,13 @@ def _signing(frequent):
 def _shared(batches):
     """From rows in order of (sig, class): documents as they are, and for each bucket of two classes or more its members but the first, with the first as pivot.  One row is held over."""
     last = None
-    names = ["sig", "class", "n", "doc_id", "pivot", "pivot_n"]
+    names = ["sig", "class", "n", "doc_id", "row", "pivot", "pivot_n"]
     for batch in batches:
         n = batch.column(2).to_numpy()
         doc = np.flatnonzero(n < 0)
         if len(doc):
             d = batch.take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([d.column(0), d.column(1), d.column(2), d.column(3), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([*d.columns, pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())], names=names)
         at = np.flatnonzero(n > 0)
         if not len(at):
             continue
@@ -229,21 +271,21 @@ def _shared(batches):
         last = sig[-1], cls[head[-1]], n[head[-1]]
         if keep.any():
             k = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[k]), pa.array(cls[k]), pa.array(n[k]), pa.nulls(len(k), pa.int64()), pa.array(cls[head[k]]), pa.array(n[head[k]])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[k]), pa.array(cls[k]), pa.array(n[k]), pa.nulls(len(k), batch.column(3).type), pa.nulls(len(k), pa.int64()), pa.array(cls[head[k]]), pa.array(n[head[k]])], names=names)
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
     x = ids.view(np.uint64)
-    return np.stack([mixed(x + _WAY[i]) % U(BLOOM_BITS) for i in range(3)])
+    return np.stack([mixed(x + _WAY[i]) % U(size) for i in range(3)])
 
 
-def _bloom(ids: DataFrame):
-    """A Bloom filter of doc_id, BLOOM_BITS long whatever the number of ids."""
+def _bloom(ids: DataFrame, size: int):
+    """A Bloom filter of a column of longs, of ``size`` bits."""
 
     def build(batches):
-        bits = np.zeros(BLOOM_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
-            bits[_bits(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)).ravel()] = True
+            bits[_bits(b.column(0).to_numpy(), size).ravel()] = True
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
@@ -251,24 +293,86 @@ def _bloom(ids: DataFrame):
         return (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()
 
     parts = ids.mapInArrow(build, "bits binary").rdd.map(lambda r: bytes(r.bits))
-    none = bytes(BLOOM_BITS // 8)
-    return ids.sparkSession.sparkContext.broadcast(parts.treeAggregate(none, either, either))
+    return ids.sparkSession.sparkContext.broadcast(parts.treeAggregate(bytes(size // 8), either, either))
+
+
+def parities(s: np.ndarray) -> bytes:
+    """Whether the set has an odd number of features in each of PARITIES cells."""
+    return np.packbits((np.bincount((s % U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
 
 
 def _texts_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(class, text) of candidates(class, doc_id).  Where rows repeat a doc_id, texts of other classes come along; _linked leaves them out."""
-    bloom = _bloom(candidates.where("doc_id is not null").select("doc_id"))
+    """(class, text, sketch) of candidates(class, row), from docs(doc_id, text, row): equal rows are one."""
+    size = max(1 << 20, min(BLOOM_MOST, 1 << (BLOOM_EACH * candidates.count()).bit_length()))
+    bloom = _bloom(candidates.select("row"), size)
 
     def pick(batches):
-        bits = np.frombuffer(bloom.value, np.uint8)
+        bits, seen = np.frombuffer(bloom.value, np.uint8), set()
+        for batch in batches:
+            b = _bits(batch.column(1).to_numpy(), size)
+            hit = np.flatnonzero(((bits[b // U(8)] >> (U(7) - b % U(8)).astype(np.uint8)) & 1).all(0))
+            found = batch.column(1).to_numpy()[hit].tolist()
+            yield batch.take(pa.array(hit[_unseen(found, seen)]))
+
+    def sketched(batches):
+        for batch in batches:
+            made = [parities(s) for _, part in batched(batch.column(1).to_pylist()) for s in shingle_sets(part, WIDTH)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["class", "text", "sketch"])
+
+    found = docs.select("text", "row").mapInArrow(pick, "text string, row long").dropDuplicates(["row"])
+    return found.join(candidates, "row").select("class", "text").mapInArrow(sketched, "class long, text string, sketch binary")
+
+
+def _strangers(batches):
+    """From rows (sig, class, n, component, sketch) in order of sig: pairs (a, b) of a bucket in different components that sizes and parities don't rule out.  The rows of one bucket are held."""
+
+    def pairs(sig, cls, n, part, sketch):
+        upto = np.searchsorted(sig, sig, side="right")
+        at, found = np.arange(len(sig)), []
+        for step in range(1, len(sig)):
+            at = at[at + step < upto[at]]
+            if not len(at):
+                break
+            i, j = at, at + step
+            ok = (part[i] != part[j]) & (n[i] * 5 >= n[j] * 4) & (n[j] * 5 >= n[i] * 4)
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= (n[i] + n[j]) // 9
+            if ok.any():
+                found.append((cls[i[ok]], cls[j[ok]]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            once = np.unique(mixed(a.view(np.uint64)) ^ b.view(np.uint64), return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], names=["a", "b"])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        rows = [*(batch.column(k).to_numpy().astype(np.int64) for k in range(4)), sketch]
+        if rest is not None:
+            rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from pairs(*(x[:last] for x in rows))
+        rest = [x[last:] for x in rows]
+    if rest is not None:
+        yield from pairs(*rest)
+
+
+def _cut_finer(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows(sig, class, n, component, sketch) of large buckets, cut by signatures under a further hash, of which partners share one too."""
+
+    def finer(batches):
         for batch in batches:
-            ids = batch.column(0)
-            b = _bits(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            hit = ((bits[b // U(8)] >> (U(7) - b % U(8)).astype(np.uint8)) & 1).all(0) | ids.is_null().to_numpy(zero_copy_only=False)
-            yield batch.take(pa.array(np.flatnonzero(hit)))
+            for first, part in batched(batch.column(5).to_pylist()):
+                sigs = [signatures(np.sort(mixed(s ^ _WAY[0]))) for s in shingle_sets(part, WIDTH)]
+                at = np.repeat(np.arange(first, first + len(part)), [len(g) for g in sigs])
+                if len(at):
+                    under = mixed(np.concatenate(sigs) ^ mixed(batch.column(0).to_numpy()[at].view(np.uint64))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(under), *(batch.column(k).take(pa.array(at)) for k in range(1, 5))], names=batch.schema.names[:5])
 
-    c = candidates.select("class", F.col("doc_id").alias("_id"))
-    return docs.mapInArrow(pick, "doc_id long, text string").join(c, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+    return rows.join(texts.select("class", "text"), "class").select("sig", "class", "n", "component", "sketch", "text").mapInArrow(finer, rows.schema)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -312,25 +416,28 @@ def _can_match(a: str, b: str):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stars: int = 2) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles (long), component_id (long).
+    """One row per row of docs: doc_id, n_shingles (long), component_id (of doc_id's type).
 
     stars: rounds in which each class is compared with one pivot only, that of another component with which it shares most signatures; most components are whole after the first.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    id_type = slim.schema["doc_id"].dataType
     with small_batches(spark):
         frequent = _frequent(slim)
-    signed = slim.mapInArrow(_signing(frequent), "sig long, class long, n int, doc_id long")
+    signed = slim.mapInArrow(_signing(frequent, to_arrow_type(id_type)), f"sig long, class long, n int, doc_id {id_type.simpleString()}, row long")
     with small_batches(spark, 4000):
-        met = written(signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long, n int, doc_id long, pivot long, pivot_n int"))
+        met = written(signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, f"sig long, class long, n int, doc_id {id_type.simpleString()}, row long, pivot long, pivot_n int"))
     release(spark)
-    every = met.where("n < 0").select("doc_id", "class", (-1 - F.col("n")).cast("long").alias("n_shingles"))
-    shared = met.where("n > 0")
-    classes = every.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
+    every = met.where("n < 0").select("doc_id", "class", (-1 - F.col("n")).cast("long").alias("n_shingles"), "row")
+    shared = met.where("n > 0").select("sig", "class", "n", "pivot", "pivot_n")
+    # Of a class the smallest id, nulls last, and the row that has it.
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    classes = every.where("n_shingles > 0").groupBy("class").agg(least.alias("least")).select("class", F.col("least.doc_id").alias("first"), F.col("least.row").alias("row"))
 
     pivots = written(shared.where(_can_match("n", "pivot_n")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared")))
     members = shared.select("class").unionByName(shared.select(F.col("pivot").alias("class"))).distinct()
-    candidates = written(classes.join(members, "class", "left_semi").select("class", F.col("first").alias("doc_id")))
+    candidates = written(classes.join(members, "class", "left_semi").select("class", "row"))
     with small_batches(spark):
         texts = written(_texts_of(slim, candidates))
     release(spark)
@@ -348,14 +455,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             links = links.unionByName(written(_linked(pairs, texts)))
         labels = connected_components(links, checkpointed)
 
-    # What is left: pairs of a bucket in different components.
+    # What is left: buckets of several components.
     known = shared.join(named("class", "c"), "class", "left").join(named("pivot", "pc"), "pivot", "left").withColumns({"c": F.coalesce("c", "class"), "pc": F.coalesce("pc", "pivot")})
-    odd = known.where("c != pc").select("sig", F.col("class").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), "pivot", "pivot_n")
-    rest = known.select("sig", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), (F.col("c") != F.col("pc")).alias("odd"))
-    across = odd.join(rest, "sig").where("ac != bc and (a < b or not odd)").where(_can_match("an", "bn")).select("a", "b")
-    across = across.unionByName(odd.where(_can_match("an", "pivot_n")).select("a", F.col("pivot").alias("b")))
+    known = written(known.select("sig", "class", "n", "c", "pivot", "pivot_n", "pc"))
+    torn = known.groupBy("sig").agg(F.min(F.least("c", "pc")).alias("low"), F.max(F.greatest("c", "pc")).alias("high"), (F.count("*") + 1).alias("size")).where("low < high").select("sig", "size")
+    inside = known.select("sig", "class", "n", "c").unionByName(known.groupBy("sig").agg(F.min(F.struct("pivot", "pivot_n", "pc")).alias("p")).select("sig", F.col("p.pivot").alias("class"), F.col("p.pivot_n").alias("n"), F.col("p.pc").alias("c")))
+    rows = inside.join(torn, "sig").join(texts.select("class", "sketch"), "class").select("sig", "class", "n", F.col("c").alias("component"), "sketch", "size")
+    large = torn.where(F.col("size") > BIG).limit(1).count() > 0
+    if large:
+        rows = written(rows)
+        with small_batches(spark):
+            finer = written(_cut_finer(rows.where(F.col("size") > BIG).drop("size"), texts))
+        rows = rows.where(F.col("size") <= BIG).drop("size").unionByName(finer)
+    rows = rows.select("sig", "class", "n", "component", "sketch")
+    across = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_strangers, "a long, b long")
     either = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(either, ["a", "b"], "left_anti"))
+    pairs = written(across.distinct().join(either, ["a", "b"], "left_anti"))
     with small_batches(spark, 500):
         more = written(_linked(pairs, texts))
     release(spark)
