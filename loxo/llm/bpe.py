@@ -39,10 +39,13 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The pre-split of byte-level vocabularies (a fixed public pattern).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,6 +54,8 @@ PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?
 ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 MEMO = 400_000
 LONG = 64
+#: Tokens of an output batch.
+FLUSH = 1 << 19
 
 
 def _byte_letters() -> dict[str, int]:
@@ -156,7 +161,7 @@ class _Automaton:
         """Ids as decimal strings per word, how many, and the labels emitted on the way back from these ids."""
         memo, said, count, labels = self.memo, [], 0, []
         words = self.any_words if ODD.search(text) else self.plain_words
-        for part in self.cut.split(text) if self.cut and "<" in text else (text,):
+        for part in self.cut.split(text) if self.cut and self.cut.search(text) else (text,):
             if part in self.special:
                 i = self.special[part]
                 said.append(str(i))
@@ -221,20 +226,41 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def tokenized(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens (long), ids (array<int>) and round_trip (boolean: decoding the ids gives the text), in one pass."""
-    spec = _source(docs, path)
+    """docs with n_tokens (long), ids (array<int>) and round_trip (boolean: decoding the ids gives the text), in one pass.
 
-    @F.pandas_udf("n_tokens long, ids array<int>, round_trip boolean")
-    def both(column: pd.Series) -> pd.DataFrame:
-        a, rows = automaton(spec.value), []
-        for t in column:
-            said, n, _ = a.encode(t or "")
-            ids = [int(i) for w in said for i in w.split(",")]
-            rows.append((n, ids, b"".join([a.labels[i] for i in ids]).decode("utf-8", "replace") == (t or "")))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids", "round_trip"])
+    Ids leave in batches of about ``FLUSH`` tokens, in one buffer each; a longer text's come alone.
+    """
+    made = {"n_tokens", "ids", "round_trip"}
+    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made or c.lower() == text.lower()])
+    spec, at = _source(docs, path), [c.lower() for c in df.columns].index(text.lower())
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in made]
 
-    df = docs.drop(*[c for c in docs.columns if c.lower() in {"n_tokens", "ids", "round_trip"}])
-    return df.withColumn("_t", both(F.coalesce(F.col(f"`{text}`"), F.lit("")))).select(*df.columns, "_t.*")
+    def run(batches):
+        a = automaton(spec.value)
+        for batch in batches:
+            first, held, rows, counts, right = 0, 0, [], [], []
+
+            def flush(upto):
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
+                return pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, upto - first) for i in kept), pa.array(counts, pa.int64()), ids, pa.array(right, pa.bool_())], names=names)  # noqa: B023
+
+            for i, t in enumerate(batch.column(at)):
+                body = t.as_py() or ""
+                ids = np.fromiter((int(x) for w in a.encode(body)[0] for x in w.split(",")), np.int32)
+                if rows and held + len(ids) > FLUSH:
+                    yield flush(i)
+                    first, held, rows, counts, right = i, 0, [], [], []
+                right.append(b"".join([a.labels[x] for x in ids.tolist()]).decode("utf-8", "replace") == body)
+                rows.append(ids)
+                counts.append(len(ids))
+                held += len(ids)
+            if counts:
+                yield flush(batch.num_rows)
+
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), *T._parse_datatype_string("n_tokens long, ids array<int>, round_trip boolean").fields])
+    names = schema.names
+    return df.mapInArrow(run, schema)
 
 
 def encode_digest(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:

@@ -60,11 +60,12 @@ def written(df: DataFrame) -> DataFrame:
     with_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_removed, spark, path)
+    atexit.register(removed, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _removed(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it still can be reached."""
     with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

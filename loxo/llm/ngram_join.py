@@ -34,16 +34,18 @@ Copies have one class, the hash of their set; each task signs a class once, so a
 group of copies sends as many rows to a signature as there are tasks, not as it
 has members.  Rows that share a signature are grouped in one exchange; the
 smallest class of a bucket is its pivot.  Each class is compared with the one
-of its pivots with which it shares most signatures, links are contracted to
-components, and this is done once more for classes that still have a pivot in
-another component; so a bucket of n costs n comparisons.
+of its pivots with which it shares most signatures, and links are contracted to
+components; so a bucket of n costs n comparisons.
 
 Then only buckets with more than one component are looked into.  Their rows
 bring the parities of their set in ``PARITIES`` cells of the hash domain: each
 feature that differs turns one parity, so parities differ in at most K places
-between partners, and pairs beyond that are no partners.  A bucket is compared
-in a stream, in memory, and only the pairs that pass go on to the comparison of
-whole texts.  A bucket of more than ``BIG`` members is first cut by signatures
+between partners, and pairs beyond that are no partners.  In rounds, each class
+is compared with the nearest by parities of the classes of another component
+that stand beside it in a bucket, and links are contracted, until hardly a
+comparison finds a link.  Last, the buckets that are torn still are compared
+in a stream, in memory, and all pairs of different components that pass go on
+to the comparison of whole texts.  A bucket of more than ``BIG`` members is first cut by signatures
 under a further hash of all its members, of which partners share one too.  So
 no link between components is lost, no join makes the pairs of a bucket, and
 no pairs are made within a group that holds together.  Texts are picked out of
@@ -76,6 +78,8 @@ CELLS, STRETCHES = 1 << 22, 128
 #: A feature is frequent if so many classes have it, and so many times the mean of the sketch's cells.
 FREQUENT, ABOVE_MEAN = 64, 4
 PARITIES, BIG = 512, 4096
+#: Rows that are dealt together, and pairs that a task remembers.
+SHARE, SEEN = 50_000, 2_000_000
 _SALT = U(0xA0761D6478BD642F)
 _WAY = (U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3))
 
@@ -323,56 +327,82 @@ def _texts_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return found.join(candidates, "row").select("class", "text").mapInArrow(sketched, "class long, text string, sketch binary")
 
 
-def _strangers(batches):
-    """From rows (sig, class, n, component, sketch) in order of sig: pairs (a, b) of a bucket in different components that sizes and parities don't rule out.  The rows of one bucket are held."""
+def _strangers(window: int | None):
+    """From rows (sig, class, n, component, sketch) with the rows of a sig together: pairs (a, b, far) of a bucket in different components that sizes and parities don't rule out.
+
+    Without a window these are all such pairs; with one, for each row the pair
+    that is least far of those with the ``window`` rows before and after it.
+    The rows of one bucket are held.  Buckets of a neighbourhood come one after
+    the other, so most repeats of a pair are met, and left out, here.
+    """
+    seen: set = set()
 
     def pairs(sig, cls, n, part, sketch):
-        upto = np.searchsorted(sig, sig, side="right")
+        ends = np.append(np.flatnonzero(sig[1:] != sig[:-1]) + 1, len(sig))
+        upto = np.repeat(ends, np.diff(ends, prepend=0))
         at, found = np.arange(len(sig)), []
-        for step in range(1, len(sig)):
+        best, mate = np.full(len(sig), np.inf), np.zeros(len(sig), np.int64)
+        for step in range(1, min(len(sig), (window or len(sig)) + 1)):
             at = at[at + step < upto[at]]
             if not len(at):
                 break
             i, j = at, at + step
             ok = (part[i] != part[j]) & (n[i] * 5 >= n[j] * 4) & (n[j] * 5 >= n[i] * 4)
             i, j = i[ok], j[ok]
-            ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= (n[i] + n[j]) // 9
-            if ok.any():
-                found.append((cls[i[ok]], cls[j[ok]]))
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1)
+            ok = apart <= (n[i] + n[j]) // 9
+            if not ok.any():
+                continue
+            i, j, far = i[ok], j[ok], apart[ok] / (n[i[ok]] + n[j[ok]])
+            if window is None:
+                found.append((i, j, far))
+                continue
+            for x, y in ((i, j), (j, i)):
+                less = far < best[x]
+                best[x[less]], mate[x[less]] = far[less], y[less]
+        if window is not None and len(i := np.flatnonzero(best < np.inf)):
+            found.append((i, mate[i], best[i]))
         if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            once = np.unique(mixed(a.view(np.uint64)) ^ b.view(np.uint64), return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], names=["a", "b"])
-
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        rows = [*(batch.column(k).to_numpy().astype(np.int64) for k in range(4)), sketch]
+            i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+            names, once = np.unique(mixed(a.view(np.uint64)) ^ b.view(np.uint64), return_index=True)
+            if len(seen) > SEEN:
+                seen.clear()
+            once = once[_unseen(names.tolist(), seen)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once]), pa.array(far[once])], names=["a", "b", "far"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            rows = [*(batch.column(k).to_numpy().astype(np.int64) for k in range(4)), sketch]
+            if rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+            last = int(np.flatnonzero(rows[0] != rows[0][-1]).max(initial=-1)) + 1
+            if last:
+                yield from pairs(*(x[:last] for x in rows))
+            rest = [x[last:] for x in rows]
         if rest is not None:
-            rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        yield from pairs(*(x[:last] for x in rows))
-        rest = [x[last:] for x in rows]
-    if rest is not None:
-        yield from pairs(*rest)
+            yield from pairs(*rest)
+
+    return run
 
 
 def _cut_finer(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows(sig, class, n, component, sketch) of large buckets, cut by signatures under a further hash, of which partners share one too."""
+    """rows(sig, class, n, component, sketch, deal) of large buckets, cut by signatures under a further hash, of which partners share one too."""
 
     def finer(batches):
         for batch in batches:
-            for first, part in batched(batch.column(5).to_pylist()):
+            for first, part in batched(batch.column(6).to_pylist()):
                 sigs = [signatures(np.sort(mixed(s ^ _WAY[0]))) for s in shingle_sets(part, WIDTH)]
                 at = np.repeat(np.arange(first, first + len(part)), [len(g) for g in sigs])
                 if len(at):
                     under = mixed(np.concatenate(sigs) ^ mixed(batch.column(0).to_numpy()[at].view(np.uint64))).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(under), *(batch.column(k).take(pa.array(at)) for k in range(1, 5))], names=batch.schema.names[:5])
+                    yield pa.RecordBatch.from_arrays([pa.array(under), *(batch.column(k).take(pa.array(at)) for k in range(1, 6))], names=batch.schema.names[:6])
 
-    return rows.join(texts.select("class", "text"), "class").select("sig", "class", "n", "component", "sketch", "text").mapInArrow(finer, rows.schema)
+    return rows.join(texts.select("class", "text"), "class").select("sig", "class", "n", "component", "sketch", "deal", "text").mapInArrow(finer, rows.schema)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -415,10 +445,10 @@ def _can_match(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = 4, window: int = 24) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (long), component_id (of doc_id's type).
 
-    stars: rounds in which each class is compared with one pivot only, that of another component with which it shares most signatures; most components are whole after the first.
+    rounds, window: how often, at most, each class is compared with its nearest stranger, and among how many; they only spare comparisons.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -445,37 +475,57 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = done = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     named = lambda c, as_: labels.select(F.col("node").alias(c), F.col("component").alias(as_))
-    for _ in range(stars):
-        still = pivots.join(done, ["a", "b"], "left_anti").join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        pairs = written(still.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")))
-        if not pairs.limit(1).count():
-            break
+    def compared(pairs: DataFrame) -> int:
+        """Compares pairs(a, b), takes the links in and returns how many there were."""
+        nonlocal links, done, labels
         done = done.unionByName(pairs)
         with small_batches(spark, 500):
-            links = links.unionByName(written(_linked(pairs, texts)))
-        labels = connected_components(links, checkpointed)
+            more = written(_linked(pairs, texts))
+        found = more.count()
+        if found:
+            links = links.unionByName(more)
+            labels = connected_components(links, checkpointed)
+        return found
+
+    compared(written(pivots.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
 
     # What is left: buckets of several components.
     known = shared.join(named("class", "c"), "class", "left").join(named("pivot", "pc"), "pivot", "left").withColumns({"c": F.coalesce("c", "class"), "pc": F.coalesce("pc", "pivot")})
     known = written(known.select("sig", "class", "n", "c", "pivot", "pivot_n", "pc"))
-    torn = known.groupBy("sig").agg(F.min(F.least("c", "pc")).alias("low"), F.max(F.greatest("c", "pc")).alias("high"), (F.count("*") + 1).alias("size")).where("low < high").select("sig", "size")
-    inside = known.select("sig", "class", "n", "c").unionByName(known.groupBy("sig").agg(F.min(F.struct("pivot", "pivot_n", "pc")).alias("p")).select("sig", F.col("p.pivot").alias("class"), F.col("p.pivot_n").alias("n"), F.col("p.pc").alias("c")))
-    rows = inside.join(torn, "sig").join(texts.select("class", "sketch"), "class").select("sig", "class", "n", F.col("c").alias("component"), "sketch", "size")
-    large = torn.where(F.col("size") > BIG).limit(1).count() > 0
-    if large:
-        rows = written(rows)
+    # Buckets go to a task by their smallest component, those of a component with very many rows in shares.
+    torn = written(known.groupBy("sig").agg(F.min(F.least("c", "pc")).alias("low"), F.max(F.greatest("c", "pc")).alias("high"), F.count("*").alias("size")).where("low < high").select("sig", "low", "size"))
+    shares = torn.groupBy("low").agg(F.ceil(F.sum("size") / SHARE).alias("shares"))
+    torn = torn.join(shares, "low").select("sig", F.xxhash64("low", F.pmod(F.xxhash64("sig"), F.col("shares"))).alias("deal"))
+    inside = known.select("sig", "class", "n").unionByName(known.groupBy("sig").agg(F.min(F.struct("pivot", "pivot_n")).alias("p")).select("sig", F.col("p.pivot").alias("class"), F.col("p.pivot_n").alias("n")))
+    rows = written(inside.join(torn, "sig").join(texts.select("class", "sketch"), "class").select("sig", "class", "n", "sketch", "deal"))
+    release(spark)
+
+    def met_again(rows: DataFrame, window: int | None, *order) -> DataFrame:
+        dealt = rows.select("sig", "class", "n", "component", "sketch", "deal").repartition(partitions(spark), "deal").sortWithinPartitions("deal", "sig", *order)
+        return dealt.mapInArrow(_strangers(window), "a long, b long, far double").join(done, ["a", "b"], "left_anti")
+
+    placed = lambda: rows.join(named("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    for k in range(rounds):
+        near = met_again(placed(), window, F.xxhash64("class", F.lit(k)))
+        either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+        nearest = either.groupBy("a").agg(F.min(F.struct("far", "b"))["b"].alias("b"))
+        pairs = written(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        n = pairs.count()
+        found = compared(pairs)
+        release(spark)
+        if found * 10 <= n:
+            break
+
+    # All pairs of what is torn still.
+    still = written(placed())
+    torn = still.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("sig", "size")
+    rest = still.join(torn, "sig")
+    if torn.where(F.col("size") > BIG).limit(1).count():
         with small_batches(spark):
-            finer = written(_cut_finer(rows.where(F.col("size") > BIG).drop("size"), texts))
-        rows = rows.where(F.col("size") <= BIG).drop("size").unionByName(finer)
-    rows = rows.select("sig", "class", "n", "component", "sketch")
-    across = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_strangers, "a long, b long")
-    either = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = written(across.distinct().join(either, ["a", "b"], "left_anti"))
-    with small_batches(spark, 500):
-        more = written(_linked(pairs, texts))
+            finer = written(_cut_finer(rest.where(F.col("size") > BIG).select("sig", "class", "n", "component", "sketch", "deal"), texts))
+        rest = rest.where(F.col("size") <= BIG).drop("size").unionByName(finer)
+    compared(written(met_again(rest, None, "class").select("a", "b").distinct()))
     release(spark)
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more), checkpointed)
 
     named_classes = classes.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = named_classes.groupBy("component").agg(F.min("first").alias("component_id"))

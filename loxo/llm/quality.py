@@ -1,19 +1,32 @@
-"""Quality rules by distribution divergence (DataFrame functions only, no shuffle).
+"""Quality rules by distribution divergence (DataFrame functions only, no shuffle of rows).
 
 A document is compared with language references: the histogram of its
 characters over classes and the histogram of its commonest words.  Both are
-measured by the Jensen-Shannon distance (base 2, so 0 to 1) to the nearest
-reference.  Short texts have noisy histograms, so the limits depend on the
-number of words, and below ``min_words`` the base rule alone decides.
+measured by the Jensen-Shannon distance (base 2, so 0 to 1).  References are
+the corpus's own: one aggregate over all documents adds up the histograms per
+language, of documents of ``min_words`` words or more of which ``least_known``
+percent are among the common words of one language, which then is theirs; a
+language with fewer than ``least_words`` words in all has no reference.  The
+result is a row per language, whatever the corpus.
+
+A document is measured against the word reference of the language that most of
+its common words belong to, and against the nearest character reference; where
+there is none, the distance is null and decides nothing.  A sample of n draws
+over k classes is off its own source by about sqrt((k - 1) / (8 n ln 2)), so
+limits are a fixed distance plus a multiple of that; below ``min_words`` the
+base rule alone decides.
 
 Defined cases: a null text counts as an empty one; an empty text, or one of
 white space only, has no words and fails the base rule; repeated rows are
-judged one by one; columns other than the text pass through unless they have
-the name of a result column, which replaces them.
+judged one by one, and count in the references as often; a corpus too small
+for references, or an empty table, is judged by the base rule alone; columns
+other than the text pass through unless they have the name of a result column,
+which replaces them, or of a helper column (``_q_`` and a word).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,15 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACES, SPACES, let, words_of
 
-#: Share of non-blank characters in 10,000, by class: other (mostly lower-case letters), upper-case letters, symbols, digits, punctuation.
-CHAR_REFERENCES = {"en": (9543, 166, 1, 7, 285), "fr": (9536, 168, 1, 10, 286), "es": (9555, 161, 1, 10, 274), "de": (9585, 152, 1, 5, 258)}
-#: Share of words in 10,000 of each language's ten commonest words; the rest is the last class.
-WORD_REFERENCES = {
-    "en": {"the": 553, "of": 286, "and": 232, "to": 168, "a": 138, "in": 117, "is": 105, "that": 92, "it": 79, "for": 77},
-    "fr": {"de": 551, "la": 300, "le": 221, "et": 169, "les": 140, "des": 118, "en": 113, "un": 95, "du": 79, "une": 72},
-    "es": {"de": 551, "la": 288, "que": 222, "el": 165, "en": 142, "y": 114, "los": 105, "se": 90, "las": 86, "del": 76},
-    "de": {"der": 547, "die": 287, "und": 230, "in": 167, "den": 143, "von": 116, "zu": 99, "das": 96, "mit": 80, "sich": 77},
+#: Ten of the commonest words of each language (stop words; how common they are is learned).
+COMMON_WORDS = {
+    "en": ("the", "of", "and", "to", "a", "in", "is", "that", "it", "for"),
+    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une"),
+    "es": ("de", "la", "que", "el", "en", "y", "los", "se", "las", "del"),
+    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"),
 }
+CLASSES = ("other", "upper", "symbol", "digit", "mark")
 #: All that is neither an upper-case letter, a symbol, a digit nor a mark, as Java classes; then the first three of these by what else to drop.
 PLAIN, CLASS_PATTERNS = "[^!-`{-~]+", ("[^A-Z]+", "[^#*$%&|<>]+", "[^0-9]+")
 WINDOW = 8
@@ -38,12 +50,24 @@ FEW = 24
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits.  Each pair of tuples gives, for at least so many words, the largest distance that is kept."""
+    """Limits: a distance is too far beyond ``far`` plus ``spread`` times what chance makes of so many words or characters."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
-    char_limits: tuple = ((100, 0.213), (50, 0.26), (20, 0.34))
-    word_limits: tuple = ((50, 0.285), (20, 0.36))
+    char_far: float = 0.125
+    char_spread: float = 4.0
+    word_far: float = 0.2
+    word_spread: float = 0.6
+    least_known: int = 5
+    least_words: int = 2000
+
+
+@dataclass(frozen=True)
+class References:
+    """Counts per language: of characters by CLASSES, and of its COMMON_WORDS and all other words."""
+
+    chars: dict
+    words: dict
 
 
 def _distance(counts: Column, reference: tuple) -> Column:
@@ -116,48 +140,78 @@ def repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(found).cast("long")
 
 
-def _limit(n: Column, limits: tuple) -> Column:
-    out = F.lit(float("inf"))
-    for least, most in sorted(limits):
-        out = F.when(n >= least, F.lit(most)).otherwise(out)
-    return out
+def _chance(n: Column, classes: int) -> Column:
+    """The distance that n draws over so many classes have from their own source, roughly."""
+    return F.sqrt((classes - 1) / (8 * math.log(2)) / F.greatest(n, F.lit(1)))
 
 
-def quality(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), char_distance, word_distance (double; null where no language reference applies for want of words), base_failed and kept (boolean)."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"]
-    df = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(NOT_SPACES)))
-    df = df.withColumns({"_words": words_of(body), "_lines": lines, "_solid": F.regexp_replace(body, SPACES, "")})
-    df = df.withColumn("_windows", window_hashes(F.col("_words"))).withColumn("_marked", F.regexp_replace("_solid", PLAIN, ""))
-    upper, symbols, digits = (F.length(F.regexp_replace("_marked", p, "")).cast("long") for p in CLASS_PATTERNS)
+def _histograms(df: DataFrame, body: Column) -> DataFrame:
+    """df with _q_words, _q_solid, n_words, word_chars, n_symbols, _q_chars (counts by CLASSES), _q_common (per language the counts of its words) and _q_language."""
+    df = df.withColumns({"_q_words": words_of(body), "_q_solid": F.regexp_replace(body, SPACES, "")})
+    df = df.withColumn("_q_marked", F.regexp_replace("_q_solid", PLAIN, ""))
+    upper, symbols, digits = (F.length(F.regexp_replace("_q_marked", p, "")).cast("long") for p in CLASS_PATTERNS)
+    every = sorted({w for words in COMMON_WORDS.values() for w in words})
     df = df.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length("_solid").cast("long"),
+            "n_words": F.size("_q_words").cast("long"),
+            "word_chars": F.length("_q_solid").cast("long"),
             "n_symbols": symbols,
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_windows")),
-            "_upper": upper,
-            "_digits": digits,
-            "_marked_chars": F.length("_marked").cast("long"),
-            "_common": F.filter("_words", _is(sorted({x for r in WORD_REFERENCES.values() for x in r}))),
+            "_q_upper": upper,
+            "_q_digits": digits,
+            "_q_marks": F.length("_q_marked").cast("long"),
+            "_q_known": F.filter("_q_words", _is(every)),
+        }
+    )
+    chars = F.array(F.col("word_chars") - F.col("_q_marks"), F.col("_q_upper"), F.col("n_symbols"), F.col("_q_digits"), F.col("_q_marks") - F.col("_q_upper") - F.col("n_symbols") - F.col("_q_digits"))
+    mass = [F.struct(F.size(F.filter("_q_known", _is(list(words)))).alias("n"), F.lit(k).alias("k")) for k, words in COMMON_WORDS.items()]
+    return df.withColumns({"_q_chars": chars, "_q_language": F.array_max(F.array(*mass))})
+
+
+def _word_counts(language: str) -> Column:
+    """Counts of a language's common words, and of all others."""
+    counted = F.array(*[F.size(F.filter("_q_known", _is([w]))).cast("long") for w in COMMON_WORDS[language]])
+    return let(counted, lambda known: F.concat(known, F.array(F.col("n_words") - F.aggregate(known, F.lit(0).cast("long"), lambda acc, x: acc + x))))
+
+
+def references(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> References:
+    """The corpus's references, from one aggregate over all its documents; what comes to the driver is a row per language."""
+    df = _histograms(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_q_body")), F.col("_q_body"))
+    df = df.where((F.col("n_words") >= rules.min_words) & (F.col("_q_language.n") * 100 >= F.col("n_words") * rules.least_known))
+    counts = F.coalesce(*[F.when(F.col("_q_language.k") == k, _word_counts(k)) for k in COMMON_WORDS])
+    df = df.select(F.col("_q_language.k").alias("k"), "n_words", counts.alias("w"), F.col("_q_chars").alias("c"))
+    sums = [F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(11)] + [F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
+    rows = df.groupBy("k").agg(F.sum("n_words").alias("n"), *sums).where(F.col("n") >= rules.least_words).collect()
+    return References({r.k: tuple(r[f"c{i}"] for i in range(len(CLASSES))) for r in rows}, {r.k: tuple(r[f"w{i}"] for i in range(11)) for r in rows})
+
+
+def quality(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules(), known: References | None = None) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), char_distance, word_distance (double; null without a reference), base_failed and kept (boolean).
+
+    known: references, else those of docs, for which docs is read once more.
+    """
+    known = references(docs, text, rules) if known is None else known
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"]
+    df = docs.withColumn("_q_body", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    df = df.drop(*[c for c in docs.columns if c.lower() in made])
+    columns = df.columns[:-1]
+    df = _histograms(df, F.col("_q_body")).withColumn("_q_lines", F.filter(F.split("_q_body", "\n"), lambda x: F.rlike(x, F.lit(NOT_SPACES))))
+    df = df.withColumn("_q_windows", window_hashes(F.col("_q_words")))
+    none = F.lit(None).cast("double")
+    by_word = F.coalesce(none, *[F.when(F.col("_q_language.k") == k, let(_word_counts(k), _distance_to(r))) for k, r in known.words.items()])
+    nearest = [_distance(F.col("_q_chars"), r) for r in known.chars.values()]
+    by_char = F.array_min(F.array(*nearest)) if nearest else none
+    df = df.withColumns(
+        {
+            "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
+            "n_repeat_words": repeated_words(F.col("_q_windows")),
+            "char_distance": by_char,
+            "word_distance": by_word,
         }
     )
-    chars = F.array(F.col("word_chars") - F.col("_marked_chars"), F.col("_upper"), F.col("n_symbols"), F.col("_digits"), F.col("_marked_chars") - F.col("_upper") - F.col("n_symbols") - F.col("_digits"))
-    counts = {k: F.array(*[F.size(F.filter("_common", _is([x]))).cast("long") for x in r]) for k, r in WORD_REFERENCES.items()}
-    rest = lambda counted: let(counted, lambda known: F.concat(known, F.array(F.col("n_words") - F.aggregate(known, F.lit(0).cast("long"), lambda acc, x: acc + x))))
-    mass = {k: F.size(F.filter("_common", _is(list(r)))) for k, r in WORD_REFERENCES.items()}
-    df = df.withColumn("_language", F.array_max(F.array(*[F.struct(m.alias("n"), F.lit(k).alias("k")) for k, m in mass.items()]))["k"]).withColumn("_chars", chars)
-    by_word = None
-    for k, r in WORD_REFERENCES.items():
-        share = tuple(r.values()) + (10_000 - sum(r.values()),)
-        found = let(rest(counts[k]), _distance_to(share))
-        by_word = F.when(F.col("_language") == k, found) if by_word is None else by_word.when(F.col("_language") == k, found)
-    df = df.withColumns({"char_distance": F.least(*[_distance(F.col("_chars"), r) for r in CHAR_REFERENCES.values()]), "word_distance": by_word})
     n = F.col("n_words")
     failed = (n < rules.min_words) | (F.col("n_repeat_words") * 100 > n * rules.max_repeat_percent)
-    far = (F.col("char_distance") > _limit(n, rules.char_limits)) | (F.col("word_distance") > _limit(n, rules.word_limits))
+    far_chars = F.col("char_distance") > rules.char_far + rules.char_spread * _chance(F.col("word_chars"), len(CLASSES))
+    far_words = F.col("word_distance") > rules.word_far + rules.word_spread * _chance(n, 11)
+    far = F.coalesce(far_chars, F.lit(False)) | F.coalesce(far_words, F.lit(False))
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
-    return df.drop("_words", "_lines", "_solid", "_windows", "_marked", "_marked_chars", "_upper", "_digits", "_common", "_language", "_chars")
+    return df.select(*[F.col(f"`{c}`") for c in columns], *made)

@@ -54,3 +54,19 @@ def test_arcs_are_those_of_the_finished_automaton():
         u, v = rnd.sample(words, 2)
         both = (a.labels[u] + a.labels[v]).decode()
         assert a.arc(u, v) == (t.encode(both, add_special_tokens=False).ids == [u, v])
+
+
+def test_tokenized_in_small_batches_with_clashes_and_a_long_text(spark, monkeypatch):
+    from loxo.llm import bpe
+
+    monkeypatch.setattr(bpe, "FLUSH", 50)
+    texts = [*TEXTS, "unbelievable things " * 20_000]
+    t = library()
+    df = spark.createDataFrame([(i, x, "k", 7) for i, x in enumerate(texts)], "doc_id long, text string, ids string, round_trip int")
+    out = bpe.tokenized(df, PATH)
+    assert out.columns == ["doc_id", "text", "n_tokens", "ids", "round_trip"]
+    rows = {r.doc_id: r for r in out.collect()}
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        assert list(rows[i].ids) == ids and rows[i].n_tokens == len(ids) and rows[i].round_trip and rows[i].text == x
+    assert bpe.tokenized(df.limit(0), PATH).collect() == []

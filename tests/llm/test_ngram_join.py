@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from loxo.llm.ngram_join import near_duplicates, signatures
+from loxo.llm.ngram_join import near_duplicates, parities, signatures
 from loxo.llm.shingles import shingle_sets
 
 
@@ -88,3 +88,33 @@ def test_sets_do_not_depend_on_the_batch():
     texts = [b"a b c d e f g", b"", b"One TWO", b"x " * 5000, "é ü A b c d e".encode()]
     whole = shingle_sets(texts)
     assert all((a == shingle_sets([t])[0]).all() for a, t in zip(whole, texts, strict=True))
+
+
+def test_large_buckets_and_long_texts(spark, monkeypatch):
+    """Buckets beyond BIG, a text of 30,000 words with a near copy, and 200 copies, against all pairs."""
+    from loxo.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BIG", 3)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefg", k=5))
+    long = [word() for _ in range(30_000)]
+    passage = [word() for _ in range(150)]
+    texts = [" ".join(long), " ".join(long[:29_000])]
+    texts += [" ".join(passage + [word() for _ in range(50)]) for _ in range(40)]
+    texts += [" ".join(passage)] * 200
+    r = list(enumerate(texts))
+    df = spark.createDataFrame([(f"{i:04}", t, "x") for i, t in r], "doc_id string, text string, sig string").repartition(6)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in near_duplicates(df, rounds=0).collect())
+    want = brute([(f"{i:04}", t) for i, t in r[:44]])
+    least = {d: c for d, _, c in want}
+    assert [x for x in got if int(x[0]) < 44] == want
+    assert {x[2] for x in got if int(x[0]) >= 42} == {least["0042"]}
+
+
+def test_parities_bound_the_difference():
+    rnd = np.random.default_rng(8)
+    for n in (5, 100, 3000):
+        r = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        s = np.unique(np.append(r[n // 5 :], rnd.integers(0, 2**64, n // 9, dtype=np.uint64)))
+        x, y = (np.frombuffer(parities(v), np.uint8) for v in (r, s))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(r, s))

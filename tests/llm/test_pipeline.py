@@ -5,6 +5,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from loxo.llm import pipeline  # noqa: E402
 from tests.llm.test_ngram_join import brute as components  # noqa: E402
 
 
@@ -55,7 +56,40 @@ def test_near_duplicates_go_by_row(spark):
     a, b, c, d, e = (" ".join("".join(rnd.choices("aeiorstnlh", k=7)) for _ in range(60)) for _ in range(5))
     rows = [(3, a), (5, a), (5, b), (None, c), (None, d), (None, d), (7, d), (8, e), (8, e), (9, ""), (9, ""), (None, None), (None, None)]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    out = corpus_pipeline.near_duplicate_join(spark, docs, "")
+    out = pipeline.near_duplicate_join(spark, docs, "")
     assert out.columns == docs.columns
     want = [(3, a), (5, b), (None, c), (7, d), (8, e), (9, ""), (9, ""), (None, None), (None, None)]
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in out.collect())
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_flags_are_computed_once(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    flags = pipeline.quality(docs)._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(")
+    stage = pipeline.quality_rules(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(")
+    assert 0 < stage <= flags
+
+
+def test_stages_of_empty_tables_nulls_long_texts_and_clashes(spark):
+    rnd = random.Random(3)
+    long = " ".join("".join(rnd.choices("aeiorstnlh", k=6)) for _ in range(60_000))
+    rows = [(None, None, None, None, None), (None, long, None, None, None), (1, long, "en", "s", 0), (1, long, "en", "s", 0), (2, "", "en", "s", 0), (2, " \n", "en", "s", 0)]
+    for data in (rows, []):
+        docs = spark.createDataFrame([(*r, "x", 1, "y") for r in data], SCHEMA + ", _row string, size long, ids string")
+        for name, stage in pipeline.STAGES[:-1]:
+            assert stage(spark, docs, "").columns == SCHEMA.replace(" long", "").replace(" string", "").split(", "), name
+        assert sorted(str(r.doc_id) for r in pipeline.near_duplicate_join(spark, docs, "").collect()) == (["1", "2", "2", "None"] if data else [])
+        mixed = pipeline.mixing(spark, docs, "").collect()
+        assert (long in {r.text for r in mixed}) == bool(data)
+        assert len(pipeline.tokens(spark, docs, "").collect()) == len(data)
+        assert all(r.round_trip for r in pipeline.tokens(spark, docs, "").collect())
+
+
+def test_alike_rows_share_their_copies(spark):
+    """Three rows that are alike and one other: as many copies in all as the operator gives."""
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5)] * 3 + [(2, "d e", "en", "t", 3)], SCHEMA)
+    want = {r.doc_id: r.n for r in pipeline.mix_sources(docs).groupBy("doc_id").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect() if r.n}
+    got = {r.doc_id: r["count"] for r in pipeline.mixing(spark, docs, "").groupBy("doc_id").count().collect()}
+    assert got == want
