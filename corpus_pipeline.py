@@ -1,79 +1,5 @@
-"""From documents to token ids: quality rules, near duplicates, personal data, mix, tokens.
+"""The pipeline over documents: STAGES, run and ORACLE_SQL."""
 
-Each stage takes (spark, docs, sf_dir), docs being what its predecessor wrote,
-and returns a DataFrame; all but the last return the columns of documents.
-Rows that share a doc_id, or have none, are separate documents.
-"""
+from loxo.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loxo.llm.bpe import tokenized
-from loxo.llm.common import with_checkpoints
-from loxo.llm.mixing import emitted, mix_sources
-from loxo.llm.ngram_join import near_duplicates
-from loxo.llm.pii import find_pii, redacted
-from loxo.llm.quality import quality
-from loxo.llm.queries import vocabulary
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
-
-
-def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document, that with the smallest doc_id (null last); documents linked with nothing stay, whatever their doc_id."""
-    # Rows go by a hash of doc_id and text: those that share it are exact copies.
-    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
-    groups = near_duplicates(rows.select("_row", "text"), doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id", (F.col("n_shingles") == 0).alias("_alone")).distinct()
-    named = groups.where("not _alone").join(rows.select("_row", "doc_id").distinct(), "_row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")).select("_row", F.lit(False).alias("_alone"))
-    kept = first.unionByName(groups.where("_alone").select("_row", "_alone"))
-    left = rows.join(kept, "_row").withColumn("_copy", F.when(F.col("_alone"), F.monotonically_increasing_id()))
-    one = left.groupBy("_row", "_copy").agg(F.min(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("_d"))
-    return one.select("_d.*").select(*COLUMNS)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data replaced by its kind in brackets."""
-    clean = find_pii(docs.select(*COLUMNS)).withColumn("text", redacted(F.col("text"), F.col("pii")))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix of the sources takes."""
-    return emitted(mix_sources(docs.select(*COLUMNS))).select(*COLUMNS)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, round_trip."""
-    return tokenized(docs.select("doc_id", "lang", "source", "text"), vocabulary()).drop("text")
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicate_join", near_duplicate_join),
-    ("personal_data", personal_data),
-    ("mixing", mixing),
-    ("tokens", tokens),
-]
-#: SQL has no byte-pair encoder; tests/llm compares run() with a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents; what each returns is written to the shared folder and read again."""
-    with_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
