@@ -139,9 +139,9 @@ def _placed(e: str) -> str:
     per = f"select kind, sum(case when px is null then 0 else sqrt((x - px) * (x - px) + (y - py) * (y - py)) end) as perimeter from (select *, lag(x) over (partition by kind order by i) as px, lag(y) over (partition by kind order by i) as py from ({_polygon(e)}) p) q group by kind"
     d = G.destination(S, "atan2(x, y) + radians(cast(30 as double))", "cast(50000 as double) / perimeter * sqrt(x * x + y * y)")
     zero = "x * x + y * y < cast(0.000000000001 as double)"
-    # Spark places the shapes, a fixed table, at every candidate; the comparison's SQL covers the first 20.
-    hint, candidates = ("/*+ broadcast(p), broadcast(r) */ ", "cross join {candidates} c") if e == SPARK else ("", "join {candidates} c on c.candidate < 20")
-    return f"select {hint}candidate, p.kind, cast(i as bigint) as i, {deg(f'case when {zero} then slat else {d[0]} end')} as lat, {deg(f'case when {zero} then slon else {d[1]} end')} as lon from ({_polygon(e)}) p join ({per}) r on p.kind = r.kind {candidates}"
+    # The shapes are a fixed table, placed at every candidate.
+    hint = "/*+ broadcast(p), broadcast(r) */ " if e == SPARK else ""
+    return f"select {hint}candidate, p.kind, cast(i as bigint) as i, {deg(f'case when {zero} then slat else {d[0]} end')} as lat, {deg(f'case when {zero} then slon else {d[1]} end')} as lon from ({_polygon(e)}) p join ({per}) r on p.kind = r.kind cross join {{candidates}} c"
 
 
 pairs["shape_placed"] = _placed
@@ -177,8 +177,8 @@ def _inside(e: str, points: str) -> str:
     return f"select n.id, n.zone from ({near}) n join (select * from ({edges}) f where y1 is not null) e on e.zone = n.zone group by n.id, n.zone, n.lat, n.lon having sum({cross}) % 2 = 1"
 
 
-_mid = "select src * 1000000 + dst as id, (slat + dlat) / 2 as lat, (slon + dlon) / 2 as lon from {geo_edges}"
-pairs["glacier_anti"] = lambda e: f"select e.src, e.dst from {{geo_edges}} e left join (select distinct id from ({_inside(e, _mid)}) i) z on z.id = e.src * 1000000 + e.dst where z.id is null"
+_mid = "select concat(src, '-', dst) as id, (slat + dlat) / 2 as lat, (slon + dlon) / 2 as lon from {geo_edges}"
+pairs["glacier_anti"] = lambda e: f"select e.src, e.dst from {{geo_edges}} e left join (select distinct id from ({_inside(e, _mid)}) i) z on z.id = concat(e.src, '-', e.dst) where z.id is null"
 _route_pts = "select route_id * 100 + seq as id, lat, lon from {route_points}"
 pairs["nogo_points"] = lambda e: f"select cast(floor(id / 100) as bigint) as route_id, zone, count(*) as n_points from ({_inside(e, _route_pts)}) i group by cast(floor(id / 100) as bigint), zone"
 
@@ -250,17 +250,31 @@ _tw = "over (partition by route_id order by seq)"
 both["elev_profile"] = f"select route_id, count(*) as n, {m('min(elev_m)')} as min_m, {m('max(elev_m)')} as max_m, {m('sum(case when elev_m > p then elev_m - p else 0 end)')} as ascent_m, {m('sum(case when elev_m < p then p - elev_m else 0 end)')} as descent_m from (select *, lag(elev_m) {_tw} as p from {{trajectories}}) t group by route_id having max(abs(elev_m)) > 0"
 both["elev_cache_join"] = "select p.route_id, p.seq, coalesce(c.elev_m, cast(0 as double)) as elev_m from (select route_id, seq, cast(round(lat * 10000) as bigint) as ky, cast(round(lon * 10000) as bigint) as kx from {route_points}) p left join (select cast(round(lat * 10000) as bigint) as ky, cast(round(lon * 10000) as bigint) as kx, max(elev_m) as elev_m from {trajectories} group by 1, 2) c on p.ky = c.ky and p.kx = c.kx"
 both["surface_share"] = "select surface, n, round(cast(n as double) / sum(n) over (), 6) as share from (select surface, count(*) as n from {geo_edges} group by surface) s"
-_turns = f"select *, lag(lat) {_tw} as plat, lag(lon) {_tw} as plon, lead(lat) {_tw} as nlat, lead(lon) {_tw} as nlon from {{trajectories}}"
+_turns_of = lambda view: f"select *, lag(lat) {_tw} as plat, lag(lon) {_tw} as plon, lead(lat) {_tw} as nlat, lead(lon) {_tw} as nlon from {{{view}}}"
+_turns = _turns_of("trajectories")
 _angle = f"abs({G.wrapped('(' + G.bearing(P, ('nlat', 'nlon')) + ' - ' + G.bearing(_PP, P) + ')')})"
-both["turn_metrics"] = f"select route_id, round(sum(angle) / (sum(len) / 1000), 4) as turn_deg_per_km, sum(case when angle >= 60 then 1 else 0 end) as sharp, sum(case when angle >= 110 then 1 else 0 end) as hairpins from (select route_id, {G.haversine(_PP, P)} as len, case when nlat is not null and {G.haversine(_PP, P)} >= 5 and {G.haversine(P, ('nlat', 'nlon'))} >= 5 then degrees({_angle}) else cast(0 as double) end as angle from ({_turns}) t where plat is not null and nlat is not null) u group by route_id having sum(len) > 0"
+
+
+def _turn_metrics(view: str) -> str:
+    """Degrees, sharp turns and hairpins per km."""
+    leg = f"select route_id, {G.haversine(_PP, P)} as len, case when nlat is not null and {G.haversine(_PP, P)} >= 5 and {G.haversine(P, ('nlat', 'nlon'))} >= 5 then degrees({_angle}) else cast(0 as double) end as angle from ({_turns_of(view)}) t where plat is not null and nlat is not null"
+    return f"select route_id, sum(angle) / (sum(len) / 1000) as turn_deg, sum(case when angle >= 60 then 1 else 0 end) / (sum(len) / 1000) as sharp, sum(case when angle >= 110 then 1 else 0 end) / (sum(len) / 1000) as hairpins from ({leg}) u group by route_id having sum(len) > 0"
+
+
+both["turn_metrics"] = f"select route_id, round(turn_deg, 4) as turn_deg_per_km, round(sharp, 6) as sharp_per_km, round(hairpins, 6) as hairpins_per_km from ({_turn_metrics('trajectories')}) t"
 _surface_count = " + ".join(f"case when {s}_surface_km >= cast(0.3 as double) then 1 else 0 end" for s in T.SURFACES)
 both["surface_frag"] = f"select route_id, round(greatest(0, {_surface_count} - 1) / greatest(total_km, cast(1 as double)), 6) as fragmentation from ({_report}) r"
-_gate = [("detour_pct", _detour, 22), ("ascent_m_per_km", "case when total_km > 0 then ascent / total_km else 0 end", 14), ("long_share", "case when total_km > 0 then long_km / total_km else 0 end", 0.5)]
-both["quality_gate"] = " union all ".join(f"select '{n}' as metric, round(avg({x}), 5) as mean, avg({x}) <= cast({t} as double) as passed from ({_report}) r where total_km > 1 and ref_km > 1" for n, x, t in _gate)
+# The largest means that pass.
+_gate = [("detour_pct", _detour, 22), ("ascent_m_per_km", "case when total_km > 0 then ascent / total_km else 0 end", 14)]
+_turn_gate = [("turn_deg_per_km", "turn_deg", 260), ("sharp_per_km", "sharp", 0.75), ("hairpins_per_km", "hairpins", 0.1)]
+both["quality_gate"] = " union all ".join(
+    [f"select '{n}' as metric, round(avg({x}), 5) as mean, avg({x}) <= cast({t} as double) as passed from ({_report}) r where total_km > 1 and ref_km > 1" for n, x, t in _gate]
+    + [f"select '{n}' as metric, round(avg({x}), 5) as mean, avg({x}) <= cast({t} as double) as passed from ({_turn_metrics('route_points')}) r" for n, x, t in _turn_gate]
+)
 both["run_compare"] = f"select a.metric, round(b.mean - a.mean, 5) as delta, case when b.mean < a.mean then 'better' when b.mean > a.mean then 'worse' else 'same' end as trend from (select 'total_km' as metric, avg(total_km) as mean from ({_report}) r where route_id % 2 = 0 union all select 'avg_dev' as metric, avg(avg_dev) as mean from ({_report}) r where route_id % 2 = 0) a join (select 'total_km' as metric, avg(total_km) as mean from ({_report}) r where route_id % 2 = 1 union all select 'avg_dev' as metric, avg(avg_dev) as mean from ({_report}) r where route_id % 2 = 1) b on a.metric = b.metric"
 
 _half = "corridor_m / 2"
-_code = f"case when snap_m > greatest({_half}, cast(2000 as double)) then 'snap_too_far' when no_route then 'no_route' when hits_zone then 'no_go' when max_dev > {_half} + 3000 then 'corridor_violated' when real_km < 40 then 'too_short' when real_km > 180 then 'too_long' end"
+_code = f"case when snap_m > greatest({_half}, cast(2000 as double)) then 'snap_too_far' when no_route then 'no_route' when hits_zone then 'no_go' when max_dev > {_half} then 'corridor_violated' when real_km < 40 then 'too_short' when real_km > 180 then 'too_long' end"
 both["filter_ladder"] = f"select candidate, {_code} as reject_code from {{scored}}"
 _line_score = "100 * greatest(cast(0 as double), real_km / ref_km - 1) + 5 * long_km + 8 * max_dev / 1000 + cast(0.05 as double) * ascent_per_km"
 _viable = f"select *, {_line_score} as score from {{scored}} where {_code} is null"
@@ -301,22 +315,22 @@ both["path_turn_cost"] = f"select route_id, {m('sum(' + str(C.TURN) + ' * turn)'
 
 
 def _smooth(rounds: int) -> str:
-    q = "select node_id, elev_m as z from {geo_nodes}"
+    # Single precision after each round; sums of such values are exact in double precision, in whatever order.
+    q = "select node_id, cast(elev_m as float) as z from {geo_nodes}"
     for _ in range(rounds):
-        q = f"select node_id, avg(z) as z from (select e.dst as node_id, n.z from {{geo_edges}} e join ({q}) n on n.node_id = e.src union all select node_id, z from ({q}) s) u group by node_id"
+        q = f"select node_id, cast(sum(cast(z as double)) / count(z) as float) as z from (select e.dst as node_id, n.z from {{geo_edges}} e join ({q}) n on n.node_id = e.src union all select node_id, z from ({q}) s) u group by node_id"
     return q
 
 
-both["elev_smooth2"] = f"select node_id, {m('z')} as elev_m from ({_smooth(2)}) q"
+both["elev_smooth2"] = f"select node_id, {m('cast(z as double)')} as elev_m from ({_smooth(2)}) q"
 
 
 def _text(e: str) -> tuple[str, str]:
-    # Spark reads whole texts; the comparison's SQL still reads their first 200 characters.
     if e == SPARK:
         lines = "select doc_id, ln, line from {documents} lateral view posexplode(split(text, '\n')) p as ln, line"
         tokens = f"select doc_id, ln, pos, token from ({lines}) l lateral view posexplode(regexp_extract_all(line, '( +|[^ ]+)', 1)) q as pos, token"
     else:
-        lines = "select doc_id, unnest(range(0, len(a))) as ln, unnest(a) as line from (select doc_id, string_split(substring(text, 1, 200), chr(10)) as a from {documents}) d"
+        lines = "select doc_id, unnest(range(0, len(a))) as ln, unnest(a) as line from (select doc_id, string_split(text, chr(10)) as a from {documents}) d"
         tokens = f"select doc_id, ln, unnest(range(0, len(b))) as pos, unnest(b) as token from (select doc_id, ln, regexp_extract_all(line, '( +|[^ ]+)', 1) as b from ({lines}) l) m"
     return lines, tokens
 
@@ -326,7 +340,7 @@ _known = {SPARK: "length(regexp_replace(token, '[^ -~]', ''))", DUCK: "length(re
 pairs["glyph_missing"] = lambda e: f"select doc_id, sum(length(token)) as chars, sum(length(token) - {_known[e]}) as missing from ({_text(e)[1]}) t group by doc_id"
 pairs["gpx_text"] = lambda e: (
     "select route_id, concat('<trkseg>', {}, '</trkseg>') as gpx from {{route_points}} group by route_id".format(
-        "array_join(transform(array_sort(collect_list(struct(seq, lat, lon))), p -> format_string('<trkpt lat=\"%.5f\" lon=\"%.5f\"/>', p.lat, p.lon)), '')" if e == SPARK else "string_agg(printf('<trkpt lat=\"%.5f\" lon=\"%.5f\"/>', lat, lon), '' order by seq)"
+        "array_join(transform(array_sort(collect_list(struct(seq, lat, lon))), p -> format_string('<trkpt lat=\"%.7f\" lon=\"%.7f\"/>', p.lat, p.lon)), '')" if e == SPARK else "string_agg(printf('<trkpt lat=\"%.7f\" lon=\"%.7f\"/>', lat, lon), '' order by seq)"
     )
 )
 both["hgt_names"] = "select zone, lat_deg, lon_deg, concat(case when lat_deg < 0 then 'S' else 'N' end, lpad(cast(abs(lat_deg) as varchar(9)), 2, '0'), case when lon_deg < 0 then 'W' else 'E' end, lpad(cast(abs(lon_deg) as varchar(9)), 3, '0')) as tile from (select zone, cast(floor(clat) as int) - 47 * (zone % 2) as lat_deg, cast(floor(clon) as int) - 9 * (zone % 3) as lon_deg from {zones}) z"

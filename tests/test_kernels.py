@@ -117,3 +117,66 @@ def test_smoothing_round(spark):
     got = {r.node_id: r.z for r in spark.sql(_smooth(1), geo_nodes=n, geo_edges=e).collect()}
     assert got[0] == got[2] == 150 and got[1] == pytest.approx(400 / 3) and got[3] is None
     assert F is not None
+
+
+def literal_returns(lat, lon, gap, near, along, least, most, around):
+    """The rule of loops and tails word by word, in plain loops."""
+    if len(lat) < least:
+        return 0
+    stride = max(len(lat) // most, 1)
+    p = [(lat[i], lon[i]) for i in range(0, len(lat), stride)]
+    walked = [0.0]
+    for x, y in zip(p, p[1:]):
+        walked.append(walked[-1] + float(P.metres(*x, *y)))
+    used, found = set(), 0
+    for i in range(len(p)):
+        if i in used:
+            continue
+        for j in range(i + gap, len(p)):
+            if j not in used and walked[j] - walked[i] > along and P.metres(*p[i], *p[j]) <= near:
+                found += 1
+                used.update(range(max(0, i - around[0]), min(j + around[1] + 1, len(p))))
+                break
+    return found
+
+
+def literal_lobes(lat, lon, radius, least):
+    n, keep = len(lat), set(range(len(lat)))
+    if n < 20:
+        return sorted(keep)
+    cum = P.running(lat, lon)
+    for i in range(n):
+        if i in keep:
+            back = [j for j in range(i + 5, n) if j in keep and least <= cum[j] - cum[i] <= 20 * least and P.metres(lat[i], lon[i], lat[j], lon[j]) <= radius]
+            keep -= set(range(i + 1, back[-1] + 1)) if back else set()
+    return sorted(keep)
+
+
+def test_loops_tails_and_lobes_word_by_word():
+    rng = np.random.default_rng(9)
+    seen = set()
+    for n in (15, 25, 70, 199, 300, 1000, 1300, 1700):
+        for _ in range(3):
+            lat, lon = 46 + np.cumsum(rng.normal(0, 4e-4, n)), 7 + np.cumsum(rng.normal(0, 4e-4, n))
+            a, b = P.tails(lat, lon), P.detour_loops(lat, lon)
+            assert a == literal_returns(lat, lon, 10, 30.0, 300.0, 20, 800, (1, 1))
+            assert b == literal_returns(lat, lon, 30, 60.0, 1500.0, 200, 600, (2, 2))
+            seen |= {a > 0, b > 0}
+            if n <= 300:
+                assert P.cut_lobes(lat, lon) == literal_lobes(lat, lon, 60.0, 200.0)
+    assert seen == {True, False}
+
+
+def test_rings_of_many_ways():
+    rng = np.random.default_rng(2)
+    rings = [list(range(100 * k, 100 * k + int(rng.integers(3, 60)))) for k in range(40)]
+    ways = []
+    for r in rings:
+        closed, at = [*r, r[0]], 0
+        while at < len(r):
+            to = min(at + int(rng.integers(1, 20)), len(r))
+            ways.append(closed[at : to + 1][:: int(rng.choice([-1, 1]))])
+            at = to
+    ways += [[9000, 9001], [9001, 9002], []]
+    got = P.stitched([ways[i] for i in rng.permutation(len(ways))])
+    assert all(r[0] == r[-1] for r in got) and sorted(sorted(r[:-1]) for r in got) == sorted(rings)
