@@ -254,7 +254,10 @@ def _signing(frequent, kind: pa.DataType):
 
 
 def _shared(batches):
-    """From rows in order of (sig, class): documents as they are, and for each bucket of two classes or more its members but the first, with the first as pivot.  One row is held over."""
+    """From rows in order of sig: documents as they are, and for each bucket of two classes or more its members but the first met, with that as pivot.  One row is held over.
+
+    The order has one key, so Spark sorts it by radix; the few rows that share a sig are put in order of class here.
+    """
     last = None
     names = ["sig", "class", "n", "doc_id", "row", "pivot", "pivot_n"]
     for batch in batches:
@@ -269,13 +272,24 @@ def _shared(batches):
         sig, cls, n = batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], n[at]
         if last is not None:
             sig, cls, n = np.append(last[0], sig), np.append(last[1], cls), np.append(last[2], n)
-        start = np.append(True, sig[1:] != sig[:-1])
-        head = np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))
-        keep = (cls != cls[head]) & np.append(True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1]))
-        last = sig[-1], cls[head[-1]], n[head[-1]]
-        if keep.any():
-            k = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[k]), pa.array(cls[k]), pa.array(n[k]), pa.nulls(len(k), batch.column(3).type), pa.nulls(len(k), pa.int64()), pa.array(cls[head[k]]), pa.array(n[head[k]])], names=names)
+        same = sig[1:] == sig[:-1]
+        several = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        end = sig[-1], cls[-1], n[-1]
+        if len(several):
+            s, c, m = sig[several], cls[several], n[several]
+            held = last is not None and several[0] == 0
+            rank = np.argsort(c, kind="stable")
+            if held:  # the pivot that was held over stays the first of its bucket
+                rank = np.append(0, rank[rank != 0])
+            rank = rank[np.argsort(s[rank], kind="stable")]
+            s, c, m = s[rank], c[rank], m[rank]
+            head = np.maximum.accumulate(np.where(np.append(True, s[1:] != s[:-1]), np.arange(len(s)), 0))
+            k = np.flatnonzero((c != c[head]) & np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])))
+            if s[-1] == end[0]:
+                end = s[-1], c[head[-1]], m[head[-1]]
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(s[k]), pa.array(c[k]), pa.array(m[k]), pa.nulls(len(k), batch.column(3).type), pa.nulls(len(k), pa.int64()), pa.array(c[head[k]]), pa.array(m[head[k]])], names=names)
+        last = end
 
 
 def _bits(ids: np.ndarray, size: int) -> np.ndarray:
@@ -445,7 +459,7 @@ def _can_match(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = 4, window: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = 3, window: int = 24) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (long), component_id (of doc_id's type).
 
     rounds, window: how often, at most, each class is compared with its nearest stranger, and among how many; they only spare comparisons.
@@ -457,7 +471,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         frequent = _frequent(slim)
     signed = slim.mapInArrow(_signing(frequent, to_arrow_type(id_type)), f"sig long, class long, n int, doc_id {id_type.simpleString()}, row long")
     with small_batches(spark, 4000):
-        met = written(signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, f"sig long, class long, n int, doc_id {id_type.simpleString()}, row long, pivot long, pivot_n int"))
+        met = written(signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(_shared, f"sig long, class long, n int, doc_id {id_type.simpleString()}, row long, pivot long, pivot_n int"))
     release(spark)
     every = met.where("n < 0").select("doc_id", "class", (-1 - F.col("n")).cast("long").alias("n_shingles"), "row")
     shared = met.where("n > 0").select("sig", "class", "n", "pivot", "pivot_n")

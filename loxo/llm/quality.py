@@ -176,11 +176,12 @@ def _word_counts(language: str) -> Column:
 def references(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> References:
     """The corpus's references, from one aggregate over all its documents; what comes to the driver is a row per language."""
     df = _histograms(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_q_body")), F.col("_q_body"))
-    df = df.where((F.col("n_words") >= rules.min_words) & (F.col("_q_language.n") * 100 >= F.col("n_words") * rules.least_known))
+    # Documents that don't count have no language: a filter would be moved below the histograms and compute them once more.
+    counted = (F.col("n_words") >= rules.min_words) & (F.col("_q_language.n") * 100 >= F.col("n_words") * rules.least_known)
     counts = F.coalesce(*[F.when(F.col("_q_language.k") == k, _word_counts(k)) for k in COMMON_WORDS])
-    df = df.select(F.col("_q_language.k").alias("k"), "n_words", counts.alias("w"), F.col("_q_chars").alias("c"))
+    df = df.select(F.when(counted, F.col("_q_language.k")).alias("k"), "n_words", counts.alias("w"), F.col("_q_chars").alias("c"))
     sums = [F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(11)] + [F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
-    rows = df.groupBy("k").agg(F.sum("n_words").alias("n"), *sums).where(F.col("n") >= rules.least_words).collect()
+    rows = [r for r in df.groupBy("k").agg(F.sum("n_words").alias("n"), *sums).collect() if r.k is not None and r.n >= rules.least_words]
     return References({r.k: tuple(r[f"c{i}"] for i in range(len(CLASSES))) for r in rows}, {r.k: tuple(r[f"w{i}"] for i in range(11)) for r in rows})
 
 
