@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import geodesy as G
 from .functions.tags import SURFACES
+from .operators.nearest import nearest_nodes
 from .operators.routing import RouteParams, route
 from .plans.session import cut
 
@@ -27,16 +28,16 @@ def fan(start: DataFrame, bearings: list[float], distances_km: list[float]) -> D
     return lists.withColumns({"elat": F.expr(lat), "elon": F.expr(lon)}).withColumn("candidate", F.xxhash64("slat", "slon", "bearing", "dist_km"))
 
 
+def both_ends(candidates: DataFrame) -> DataFrame:
+    """(candidate, side, lat, lon): side s and e."""
+    return candidates.selectExpr("candidate", "'s' as side", "slat as lat", "slon as lon").unionByName(candidates.selectExpr("candidate", "'e' as side", "elat as lat", "elon as lon"))
+
+
 def snapped(candidates: DataFrame, nodes: DataFrame, k: int = 30, cell: float = 0.05) -> DataFrame:
-    """candidates with start_node, end_node, sd, ed: of each end's k nearest nodes (planar degrees, within two cells), the pair in one component (nodes.component, if there) with the least sum of distances."""
+    """candidates with start_node, end_node, sd, ed: of each end's k nearest nodes (planar degrees, however far), the pair in one component (nodes.component, if there) with the least sum of distances."""
     comp = "component" if "component" in nodes.columns else "0"
-    ends = candidates.selectExpr("candidate", "'s' as side", "slat as lat", "slon as lon").unionByName(candidates.selectExpr("candidate", "'e' as side", "elat as lat", "elon as lon"))
-    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    ends = ends.withColumn("dy", around).withColumn("dx", around).withColumns({"cy": F.floor(F.col("lat") / cell) + F.col("dy"), "cx": F.floor(F.col("lon") / cell) + F.col("dx")}).drop("dy", "dx")
-    n = nodes.selectExpr("node_id", "lat as nlat", "lon as nlon", f"{comp} as component").withColumns({"cy": F.floor(F.col("nlat") / cell), "cx": F.floor(F.col("nlon") / cell)})
-    near = ends.join(n, ["cy", "cx"]).withColumn("d2", F.expr("(lat - nlat) * (lat - nlat) + (lon - nlon) * (lon - nlon)"))
-    w = Window.partitionBy("candidate", "side").orderBy("d2", "node_id")
-    near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("d", F.expr(G.haversine(("lat", "lon"), ("nlat", "nlon"))))
+    n = nodes.selectExpr("node_id", "lat as nlat", "lon as nlon", f"{comp} as component")
+    near = nearest_nodes(both_ends(candidates), n, ["candidate", "side"], k, cell).withColumn("d", F.expr(G.haversine(("lat", "lon"), ("nlat", "nlon"))))
     a = near.where("side = 's'").selectExpr("candidate", "component", "node_id as start_node", "d as sd", "rank as ra")
     b = near.where("side = 'e'").selectExpr("candidate", "component", "node_id as end_node", "d as ed", "rank as rb")
     pair = a.join(b, ["candidate", "component"]).withColumn("best", F.row_number().over(Window.partitionBy("candidate").orderBy(F.col("sd") + F.col("ed"), "ra", "rb"))).where("best = 1")

@@ -196,18 +196,40 @@ def _hits(e: str) -> str:
 
 
 def _knn(k: int) -> str:
-    # Cells of 1/20 degree around the query; the lattice keeps the 30 nearest well inside the ring of cells.
+    """For the other engine: all nodes of all ends, ranked."""
     d2 = "(n.lat - q.lat) * (n.lat - q.lat) + (n.lon - q.lon) * (n.lon - q.lon)"
     q = "select candidate, 's' as side, slat as lat, slon as lon from {candidates} union all select candidate, 'e' as side, elat as lat, elon as lon from {candidates}"
-    ring = " union all ".join(f"select q.*, floor(lat * 20) + {y} as cy, floor(lon * 20) + {x} as cx from ({q}) q" for y in (-2, -1, 0, 1, 2) for x in (-2, -1, 0, 1, 2))
-    return f"select * from (select q.candidate, q.side, q.lat as qlat, q.lon as qlon, n.node_id, n.lat, n.lon, row_number() over (partition by q.candidate, q.side order by {d2}, n.node_id) as rank from ({ring}) q join (select *, floor(lat * 20) as cy, floor(lon * 20) as cx from {{geo_nodes}}) n on n.cy = q.cy and n.cx = q.cx) r where rank <= {k}"
+    return f"select * from (select q.candidate, q.side, q.lat as qlat, q.lon as qlon, n.node_id, n.lat, n.lon, row_number() over (partition by q.candidate, q.side order by {d2}, n.node_id) as rank from ({q}) q cross join {{geo_nodes}} n) r where rank <= {k}"
 
 
-both["knn30"] = f"select candidate, side, node_id, cast(rank as bigint) as rank from ({_knn(30)}) k"
-both["snap_pair"] = (
+_parts = "select node_id, min(component) as component from (select node_id, component from reach union all select node_id, node_id as component from {geo_nodes}) p group by node_id"
+_near = f"select x.*, {G.haversine(('qlat', 'qlon'), P)} as d, component from ({_knn(30)}) x join ({_parts}) p on p.node_id = x.node_id"
+SNAPPED: dict[str, str] = {
+    "knn30": f"select candidate, side, node_id, cast(rank as bigint) as rank from ({_knn(30)}) k",
+    "snap_pair": "with reach as (select src as node_id, src as component from {geo_edges} group by src union select e.dst as node_id, r.component from reach r join {geo_edges} e on e.src = r.node_id where r.component < e.dst or r.component = e.dst) "
     f"select candidate, start_node, end_node, {m('sd')} as sd, {m('ed')} as ed from (select a.candidate, a.node_id as start_node, b.node_id as end_node, a.d as sd, b.d as ed, row_number() over (partition by a.candidate order by a.d + b.d, a.rank, b.rank) as r "
-    f"from (select *, {G.haversine(('qlat', 'qlon'), P)} as d, node_id % 3 as component from ({_knn(30)}) x where side = 's') a join (select *, {G.haversine(('qlat', 'qlon'), P)} as d, node_id % 3 as component from ({_knn(30)}) y where side = 'e') b on a.candidate = b.candidate and a.component = b.component) t where r = 1"
-)
+    f"from (select * from ({_near}) x where side = 's') a join (select * from ({_near}) y where side = 'e') b on a.candidate = b.candidate and a.component = b.component) t where r = 1",
+}
+
+
+def knn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .api import both_ends
+    from .operators.nearest import nearest_nodes
+
+    v = views(spark, sf_dir, "{candidates} {geo_nodes}")
+    near = nearest_nodes(both_ends(v["candidates"]), v["geo_nodes"].selectExpr("node_id", "lat as nlat", "lon as nlon"), ["candidate", "side"], 30)
+    return near.selectExpr("candidate", "side", "node_id", "cast(rank as bigint) as rank")
+
+
+def snap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best pair of nodes of one component of the graph."""
+    from .api import snapped
+
+    v = views(spark, sf_dir, "{candidates} {geo_nodes}")
+    parts = components_query(spark, sf_dir)
+    nodes = v["geo_nodes"].join(parts, "node_id", "left").selectExpr("node_id", "lat", "lon", "coalesce(component, node_id) as component")
+    return snapped(v["candidates"], nodes).where("start_node is not null").selectExpr("candidate", "start_node", "end_node", f"{m('sd')} as sd", f"{m('ed')} as ed")
+
 
 # Routes: steps with the previous point, distances, deviations from the line between first and last point.
 _w = "over (partition by route_id order by seq)"
@@ -286,9 +308,9 @@ both["batch_cutoff"] = f"select batch, viable, running, prior < 300 as evaluated
 def _dedup(e: str, start: str, end: str, sep_km: str, keep: int = 4) -> str:
     """Per request, the best that aren't within sep of a kept one at both ends.
 
-    In Spark a round a kept row: the best row of all that is not near a kept one.  The comparison's SQL is an ordered fold over the best 60.
+    In Spark a round a kept row: the best row of all that is not near a kept one.  The comparison's SQL is an ordered fold over all.
     """
-    top = f"select * from (select grp % 20 as request, candidate, {start[0]} as a, {start[1]} as b, {end[0]} as c, {end[1]} as d, row_number() over (partition by grp % 20 order by round(score, 6), candidate) as r from ({_viable}) v) t where r <= 60"
+    top = f"select * from (select grp % 20 as request, candidate, {start[0]} as a, {start[1]} as b, {end[0]} as c, {end[1]} as d, row_number() over (partition by grp % 20 order by round(score, 6), candidate) as r from ({_viable}) v) t"
     near = lambda k, x: f"{G.haversine((f'{k}.a', f'{k}.b'), (f'{x}.a', f'{x}.b'))} < {sep_km} * 1000 and {G.haversine((f'{k}.c', f'{k}.d'), (f'{x}.c', f'{x}.d'))} < {sep_km} * 1000"
     if e == SPARK:
         rows = f"select grp % 20 as request, struct(round(score, 6) as s, candidate, {start[0]} as a, {start[1]} as b, {end[0]} as c, {end[1]} as d) as x from ({_viable}) v"
@@ -303,7 +325,8 @@ def _dedup(e: str, start: str, end: str, sep_km: str, keep: int = 4) -> str:
 
 
 pairs["dedup_lines"] = lambda e: _dedup(e, S, E, "8")
-pairs["dedup_shapes"] = lambda e: _dedup(e, S, S, "8")
+# Shapes of 120 km around: a radius apart, and 8 km at least.
+pairs["dedup_shapes"] = lambda e: _dedup(e, S, S, "greatest(cast(120 as double) / (2 * pi()), cast(8 as double))")
 
 _dev = "abs(({} + {}) / 2)".format(G.cross_track(("slat", "slon"), _CA := ("cast(46.01 as double)", "cast(7.01 as double)"), _CB := ("cast(46.14 as double)", "cast(7.2 as double)")), G.cross_track(("dlat", "dlon"), _CA, _CB))
 _edge = f"select e.*, {G.haversine(('slat', 'slon'), ('dlat', 'dlon'))} as len, {_dev} as dev from {{geo_edges}} e"
@@ -374,10 +397,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .operators.text import QUERIES as text
 
     found = {k: _sql_query(v) for k, v in both.items()} | {k: _sql_query(f(SPARK)) for k, f in pairs.items()}
-    return found | {"components": components_query} | routing | text
+    return found | {"components": components_query, "knn30": knn_query, "snap_pair": snap_query} | routing | text
 
 
 def oracle_sql() -> dict[str, str]:
     from .operators.routing import SQL as routing
 
-    return {k: portable(v) for k, v in both.items()} | {k: portable(f(DUCK)) for k, f in pairs.items()} | {"components": portable(COMPONENTS_SQL)} | {k: portable(v) for k, v in routing.items()}
+    return {k: portable(v) for k, v in both.items()} | {k: portable(f(DUCK)) for k, f in pairs.items()} | {"components": portable(COMPONENTS_SQL)} | {k: portable(v) for k, v in SNAPPED.items()} | {k: portable(v) for k, v in routing.items()}

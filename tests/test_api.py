@@ -60,3 +60,24 @@ def test_sinks(spark):
     assert text.index('lat="46.0000000"') < text.index('lat="46.5000000"')
     g = json.loads(geojson(p, properties=["label"]).collect()[0].geojson)
     assert g["geometry"]["coordinates"] == [[7.0, 46.0], [7.25, 46.5]] and g["properties"] == {"route_id": 1, "label": "x"}
+
+
+def test_nearest_nodes_however_far(spark):
+    """Sparse nodes, dense ones and points far outside, against all pairs."""
+    import random
+
+    from loxo.operators.nearest import nearest_nodes
+
+    rnd = random.Random(4)
+    nodes = [(i, 46 + rnd.random() / 20, 7 + rnd.random() / 20) for i in range(60)] + [(100 + i, 46 + 3 * rnd.random(), 7 + 3 * rnd.random()) for i in range(15)]
+    points = [(0, 46.02, 7.02), (1, 48.5, 9.5), (2, 30.0, -20.0), (3, 46.02, 7.02), (4, 46.3, 7.3)]
+    p = spark.createDataFrame(points, "id long, lat double, lon double")
+    n = spark.createDataFrame(nodes, "node_id long, nlat double, nlon double")
+    got = {}
+    for r in nearest_nodes(p, n, ["id"], 30).collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.node_id
+    for i, lat, lon in points:
+        want = sorted(((lat - a) * (lat - a) + (lon - b) * (lon - b), k) for k, a, b in nodes)[:30]
+        assert [got[i][k + 1] for k in range(30)] == [k for _, k in want]
+    few = nearest_nodes(p, n.limit(3), ["id"], 30)
+    assert few.count() == 15 and nearest_nodes(p, n.limit(0), ["id"], 30).count() == 0
