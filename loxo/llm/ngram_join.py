@@ -80,6 +80,8 @@ FREQUENT, ABOVE_MEAN = 64, 4
 PARITIES, BIG = 512, 4096
 #: Rows that are dealt together, and pairs that a task remembers.
 SHARE, SEEN = 50_000, 2_000_000
+#: Links to a task when components are found.
+LINKS = 100_000
 _SALT = U(0xA0761D6478BD642F)
 _WAY = (U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3))
 
@@ -459,7 +461,7 @@ def _can_match(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = 3, window: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = 2, window: int = 24) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (long), component_id (of doc_id's type).
 
     rounds, window: how often, at most, each class is compared with its nearest stranger, and among how many; they only spare comparisons.
@@ -486,19 +488,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         texts = written(_texts_of(slim, candidates))
     release(spark)
 
+    known_links = 0
     links = done = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     named = lambda c, as_: labels.select(F.col("node").alias(c), F.col("component").alias(as_))
     def compared(pairs: DataFrame) -> int:
         """Compares pairs(a, b), takes the links in and returns how many there were."""
-        nonlocal links, done, labels
+        nonlocal links, done, labels, known_links
         done = done.unionByName(pairs)
         with small_batches(spark, 500):
             more = written(_linked(pairs, texts))
         found = more.count()
         if found:
-            links = links.unionByName(more)
-            labels = connected_components(links, checkpointed)
+            known_links += found
+            # Links are few beside rows: as many tasks as they need, not as many as rows do.
+            few = 1 + known_links // LINKS
+            links = written(links.unionByName(more).coalesce(few))
+            labels = connected_components(links, lambda df: checkpointed(df.coalesce(few)))
         return found
 
     compared(written(pivots.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
