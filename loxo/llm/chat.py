@@ -14,7 +14,9 @@ are percent-coded.  The loss mask lists the spans (code points in the formatted
 text) of the assistant's escaped texts.
 
 Defined cases: null text is empty, null role is an empty role; rows of equal
-turn are put in order of role, then text, and repeated rows stay; null conv_id
+turn are put in order of role, then text, and repeated rows stay; a parent that
+isn't there makes its child a root; messages whose parents lead into a cycle
+have no root and are not formatted; (tree, node) names a message; null conv_id
 is a conversation of its own; an empty table gives an empty result; columns
 other than those named are not used.
 """
@@ -61,13 +63,17 @@ def branch_paths(messages: DataFrame) -> DataFrame:
     leaves = ids.alias("a").join(inner.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.node") == F.col("b.node")), "left_anti")
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("steps"))
     hops, step = ids.where("parent is not null").select("tree", "node", F.col("parent").alias("to")), 1
-    while hops.limit(1).count():
+    most = ids.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while step <= most and hops.limit(1).count():
         h, p = hops.alias("h"), paths.alias("p")
         more = p.join(h, F.col("p.tree").eqNullSafe(F.col("h.tree")) & (F.col("p.node") == F.col("h.node"))).select(F.col("p.tree").alias("tree"), F.col("p.leaf").alias("leaf"), F.col("h.to").alias("node"), (F.col("p.steps") + step).alias("steps"))
         paths = checkpointed(paths.unionByName(more))
         a, b = hops.alias("a"), hops.alias("b")
         hops = checkpointed(a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.to") == F.col("b.node"))).select(F.col("a.tree").alias("tree"), F.col("a.node").alias("node"), F.col("b.to").alias("to")))
         step *= 2
+    if step > most and hops.limit(1).count():  # who can go up further than its tree has messages is led into a cycle
+        p, lost = paths.alias("p"), hops.select("tree", "node").distinct().alias("h")
+        paths = p.join(lost, F.col("p.tree").eqNullSafe(F.col("h.tree")) & (F.col("p.leaf") == F.col("h.node")), "left_anti")
     return paths
 
 

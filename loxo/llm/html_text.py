@@ -64,7 +64,7 @@ FOREIGN, HTML_WITHIN = frozenset({"svg", "math"}), frozenset("foreignobject desc
 ENDS_SELECT, TABLE = frozenset({"select", "input", "textarea"}), frozenset("caption table tbody td tfoot th thead tr".split())
 STAY = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:![^>]*|\?[^>]*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:![^>]*|\?[^>]*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?=[\s=/>]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _MARKS = re.compile(r"[.,;:!?…。，、]")
 _SPACE = re.compile(r"\s+")
@@ -106,7 +106,7 @@ def blocks_of(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if pieces:
-            text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+            text = _SPACE.sub(" ", "".join(map(html.unescape, pieces))).strip()
             pieces.clear()
             if text:
                 names = [s[0] for s in stack]

@@ -77,6 +77,7 @@ KINDS = (
     Kind("secret", "(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])", "[0-9a-f]{32}", lambda x: F.rlike(x, F.lit("[0-9]")) & F.rlike(x, F.lit("[a-f]")), 0.3, "token|secret|key|password"),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
+ADDED_KINDS = ("iban", "ssn", "secret")
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 

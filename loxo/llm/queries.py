@@ -58,12 +58,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    from .pii import BASE_KINDS, find_pii, joined
+    from .pii import ADDED_KINDS, BASE_KINDS, find_pii, joined
 
     found = find_pii(docs)
     of = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("pii", lambda s: s["kind"].isin(list(BASE_KINDS)))
-    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), *[of(k).alias(f"n_{k}") for k in ADDED_KINDS], F.size("pii").cast("long").alias("n_spans"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

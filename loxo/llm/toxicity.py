@@ -50,6 +50,7 @@ class Settings:
     log_odds: float = 3.0
     around: int = 8
     steps: int = 45
+    windows: int = 40  # of a labelled document, from its first suspect tokens: bounds what is fitted on, not what is scored
 
 
 @dataclass
@@ -220,7 +221,7 @@ def _windows(texts: list[str], toxic: list[int], settings: Settings) -> tuple[li
         marked = set(hits) if y else set()
         middle = zlib.crc32(" ".join(ws[:3]).encode("utf-8", "surrogatepass")) % max(len(ws), 1)
         last = -1
-        for i in sorted({*hits[:40], middle}) if ws else []:
+        for i in sorted({*hits[: settings.windows], middle}) if ws else []:
             if i <= last:
                 continue
             lo, hi = max(i - a, last + 1), min(i + 2 * a, len(ws))
@@ -281,8 +282,8 @@ def score(docs: DataFrame, model: Field | None, text: str = "text", least: float
                 if len(p) and p.max() >= least:
                     low = t.lower()
                     at = list(TOKEN.finditer(low))
-                    # Lower-casing may change lengths (few characters do); offsets then are of the lower-cased text.
-                    found = [{"start": at[i].start(), "end": at[i].end(), "p": float(p[i])} for i in np.flatnonzero(p >= least).tolist()]
+                    home = range(len(t)) if len(low) == len(t) else np.repeat(np.arange(len(t)), [len(c.lower()) for c in t])
+                    found = [{"start": int(home[at[i].start()]), "end": int(home[at[i].end() - 1]) + 1, "p": float(p[i])} for i in np.flatnonzero(p >= least).tolist()]
                 spans.append(found)
         return pd.DataFrame({"score": scores, "toxic_spans": spans})
 

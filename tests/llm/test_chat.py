@@ -43,3 +43,18 @@ def test_long_thread_and_empty(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", str(i)) for i in range(300)]
     assert chat_digest(frame(spark, rows)).collect()[0].n_turns == 300
     assert chat_digest(frame(spark, [])).collect() == []
+
+
+def test_cycles_and_orphans(spark):
+    """Two messages that answer each other, one that hangs on them, an orphan with a child, and a root with a child."""
+    rows = [(1, 1, 2), (1, 2, 1), (1, 3, 1), (1, 10, None), (1, 11, 10), (2, 5, 99), (2, 6, 5), (3, 1, 1)]
+    df = spark.createDataFrame([(t, n, p, "user", str(n), 1.0, "x") for t, n, p in rows], "tree long, node int, parent int, role string, text string, score double, branch string")
+    out = formatted(df.drop("branch"), branches=9)
+    got = sorted((r.tree, [x.text for x in r.t]) for r in out.withColumn("t", read_back(out.formatted)).collect())
+    assert got == [(1, ["10", "11"]), (2, ["5", "6"])]
+
+
+def test_a_very_long_text(spark):
+    text = "<| \\ é " * 100_000
+    got = chat_digest(frame(spark, [(1, 0, "user", "q"), (1, 1, "assistant", text)])).collect()[0]
+    assert got.loss_chars == len(text) and got.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()

@@ -46,3 +46,9 @@ def test_elements_left_open():
     assert main_text("<article><select><option>no<input>" + STORY + "</article>") == WANT
     assert main_text("<article><table><tr><td><select><option>no<td>One, two.</table></article>") == "One, two."
     assert main_text("<article><p>One, two.</p><select><option>no</article><p>Out") == "One, two."
+
+
+def test_quotes_in_bare_values_and_split_references():
+    assert main_text("<article><p class=it's>Hello, world.</p><p>More text.</p></article>") == "Hello, world.\nMore text."
+    assert main_text("<article><p title = 'a > b' class=\"x>y\">One &lt; two.</p></article>") == "One < two."
+    assert main_text("<article><p>a&<b>lt;</b>b</p></article>") == "a&lt;b"

@@ -58,3 +58,15 @@ def test_no_labels(spark):
     model = learn(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert model is None and score(docs, model).collect()[0].score == 0.0
     assert fit(["a"], [1]) is None and isinstance(fit(["a b", "c d"], [1, 0]), Field)
+
+
+def test_offsets_are_of_the_text_itself(spark):
+    """A character that lower-casing makes longer doesn't shift spans."""
+    from loxo.llm.toxicity import SIZE, names
+
+    w = np.zeros(SIZE, np.float32)
+    w[zlib.crc32(names("badword")[0].encode()) % SIZE] = 9.0
+    model = Field(w, np.zeros((2, 2)), -4.0)
+    text = "İİ İstanbul badword end"
+    r = score(spark.createDataFrame([(text,)], "text string"), model, least=0.9).collect()[0]
+    assert [text[x.start : x.end] for x in r.toxic_spans] == ["badword"]
