@@ -393,14 +393,18 @@ def _sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from .operators import requests as asked
     from .operators.routing import QUERIES as routing
     from .operators.text import QUERIES as text
 
     found = {k: _sql_query(v) for k, v in both.items()} | {k: _sql_query(f(SPARK)) for k, f in pairs.items()}
+    found |= {k: _sql_query(v) for k, v in asked.SPARK_SQL.items()} | {"nearest_node": asked.nearest_query}
     return found | {"components": components_query, "knn30": knn_query, "snap_pair": snap_query} | routing | text
 
 
 def oracle_sql() -> dict[str, str]:
+    from .operators import requests as asked
     from .operators.routing import SQL as routing
 
-    return {k: portable(v) for k, v in both.items()} | {k: portable(f(DUCK)) for k, f in pairs.items()} | {"components": portable(COMPONENTS_SQL)} | {k: portable(v) for k, v in SNAPPED.items()} | {k: portable(v) for k, v in routing.items()}
+    more = {k: portable(v) for k, v in asked.DUCK_SQL.items()} | {"nearest_node": portable(asked.NEAREST_SQL)}
+    return more | {k: portable(v) for k, v in both.items()} | {k: portable(f(DUCK)) for k, f in pairs.items()} | {"components": portable(COMPONENTS_SQL)} | {k: portable(v) for k, v in SNAPPED.items()} | {k: portable(v) for k, v in routing.items()}
