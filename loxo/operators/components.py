@@ -1,24 +1,69 @@
-"""Connected components by contraction, wholly in joins and aggregates."""
+"""Connected components by contraction, in joins and aggregates over edges that each task has contracted first."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges that a task contracts at a time: a bound of its memory, not of the graph.
+HELD = 1 << 20
+
+
+def _stars(edges: pd.DataFrame) -> pd.DataFrame:
+    """The same components with every node joined to the smallest of its own."""
+    codes, nodes = pd.factorize(pd.concat([edges["a"], edges["b"]], ignore_index=True), sort=True)
+    a, b = np.split(codes, 2)
+    up = np.arange(len(nodes))
+    while True:
+        p, q = up[a], up[b]
+        apart = p != q
+        if not apart.any():
+            break
+        np.minimum.at(up, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+    leaf = np.flatnonzero(up != np.arange(len(nodes)))
+    return pd.DataFrame({"a": nodes[leaf], "b": nodes[up[leaf]]})
+
+
+def _contracted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += len(part)
+        if rows >= HELD:
+            yield _stars(pd.concat(held, ignore_index=True))
+            held, rows = [], 0
+    if rows:
+        yield _stars(pd.concat(held, ignore_index=True))
+
 
 def connected_components(edges: DataFrame, cut) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node that can be reached.
 
-    Each round hooks every node to its smallest neighbour, follows the hooks
-    to their ends by doubling, and puts the edges between the ends in place of
-    the edges; at least half of the nodes that still have edges go away, so a
-    billion edges take some thirty rounds at most and mostly under six.  Hubs
-    only meet in minima, which are partial before their exchange.  ``cut``
-    writes a DataFrame and returns it without lineage (a checkpoint).
+    Each task first puts stars in place of the edges that it has, so long
+    chains go, and a graph that fits a task is done.  Each round then hooks
+    every node to its smallest neighbour, follows the hooks to their ends by
+    doubling, and puts the edges between the ends in place of the edges; at
+    least half of the nodes that still have edges go away, so a billion edges
+    take some thirty rounds at most and mostly under six.  Hubs only meet in
+    minima, which are partial before their exchange.  ``cut`` writes a
+    DataFrame and returns it without lineage (a checkpoint).
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = cut(both.where("a != b").distinct())
-    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+
+    def both(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def contracted(pairs: DataFrame) -> DataFrame:
+        slim = pairs.select("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return cut(both(cut(slim.mapInPandas(_contracted, slim.schema))).distinct())
+
+    left = contracted(edges)
+    labels = cut(both(edges).select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     while left.limit(1).count():
         hook = cut(left.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("up")))
         while True:
@@ -30,5 +75,5 @@ def connected_components(edges: DataFrame, cut) -> DataFrame:
         hook = hook.select("x", "up")
         labels = cut(labels.join(hook.select(F.col("x").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
         moved = left.join(hook.select(F.col("x").alias("a"), F.col("up").alias("p")), "a").join(hook.select(F.col("x").alias("b"), F.col("up").alias("q")), "b")
-        left = cut(moved.where("p != q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+        left = contracted(moved.select(F.col("p").alias("a"), F.col("q").alias("b")))
     return labels

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loxo.functions import geodesy as G
 from loxo.operators import path as P
+from loxo.operators import components
 from loxo.operators.components import connected_components
 from loxo.operators.routing import Graph, RouteParams, edge_costs, route, route_in_cells, search
 from loxo.plans.session import cut
@@ -105,8 +106,25 @@ def test_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in up}
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), cut)
-    assert {r.node: r.component for r in got.collect()} == {x: root(x) for x in up}
+    assert {r.node: r.component for r in got.collect()} == want
+    # Many small tasks, so that components reach across them; and nodes that are strings.
+    texts = [(f"{a:05}", f"{b:05}") for a, b in edges]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = connected_components(spark.createDataFrame(texts, "a string, b string").repartition(7), cut)
+        assert {int(r.node): int(r.component) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert connected_components(spark.createDataFrame([], "a long, b long"), cut).collect() == []
+
+
+def test_stars_in_several_holds(monkeypatch):
+    monkeypatch.setattr(components, "HELD", 3)
+    chain = pd.DataFrame({"a": range(1, 9), "b": range(8)})
+    got = list(components._contracted(iter([chain[:2], chain[2:3], chain[3:]])))
+    assert [sorted(zip(x.a, x.b)) for x in got] == [[(1, 0), (2, 0), (3, 0)], [(4, 3), (5, 3), (6, 3), (7, 3), (8, 3)]]
 
 
 def test_smoothing_round(spark):
