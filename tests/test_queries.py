@@ -48,3 +48,14 @@ def test_reports_scan_few_columns_and_stay_in_the_jvm(spark):
     plan = own.queries()["route_report"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
     assert "l_comment" not in plan and "l_tax" not in plan
+
+
+def test_repeated_names_can_be_stored(spark, con, tmp_path):
+    # The SQL names the class ferry and the mode ferry alike; either engine stores both columns.
+    entry.queries()["shape_surface"](spark, SF).write.parquet(f"{tmp_path}/spark")
+    con.execute(f"copy ({SQL['shape_surface']}) to '{tmp_path}/duck.parquet'")
+    got = con.execute(f"select * from '{tmp_path}/spark/*.parquet' order by all")
+    cols, rows = [d[0] for d in got.description], got.fetchall()
+    want = con.execute(f"select * from '{tmp_path}/duck.parquet' order by all")
+    assert cols == [d[0] for d in want.description] and cols[-2:] == ["ferry_km", "ferry_km_1"]
+    assert rows == want.fetchall() and any(r[-1] != r[-2] for r in rows)
