@@ -74,6 +74,8 @@ from .shingles import U, batched, mixed, shingle_sets
 SMALL, SEEDS, WIDTH = 40, 4, 5
 #: Bits of the Bloom filter a candidate, and the most it may have in all (16 MB); when it is fuller more rows pass, which the join behind it drops.
 BLOOM_EACH, BLOOM_MOST = 8, 1 << 27
+#: Bytes of the pieces in which it is put together.
+BLOOM_PIECE = 1 << 14
 CELLS, STRETCHES = 1 << 22, 128
 #: A feature is frequent if so many classes have it, and so many times the mean of the sketch's cells.
 FREQUENT, ABOVE_MEAN = 64, 4
@@ -306,14 +308,22 @@ def _bloom(ids: DataFrame, size: int):
         bits = np.zeros(size, bool)
         for b in batches:
             bits[_bits(b.column(0).to_numpy(), size).ravel()] = True
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+        rows = np.packbits(bits).reshape(-1, BLOOM_PIECE)
+        some = np.flatnonzero(rows.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[k].tobytes() for k in some], pa.binary())], names=["piece", "bits"])
 
-    def either(a: bytes, b: bytes) -> bytes:
-        return (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()
+    def either(key, rows):  # 16 KB from each of 64 tasks at most
+        out = np.zeros(BLOOM_PIECE, np.uint8)
+        for x in rows.column("bits"):
+            out |= np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["piece", "bits"])
 
-    parts = ids.mapInArrow(build, "bits binary").rdd.map(lambda r: bytes(r.bits))
-    return ids.sparkSession.sparkContext.broadcast(parts.treeAggregate(bytes(size // 8), either, either))
+    # One Python operator a stage: an executor keeps as many workers as it ever ran at once, each with what its operators hold.
+    whole = np.zeros((size // 8 // BLOOM_PIECE, BLOOM_PIECE), np.uint8)
+    for r in ids.coalesce(64).mapInArrow(build, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").collect():
+        whole[r.piece] = np.frombuffer(bytes(r.bits), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(whole.tobytes())
 
 
 def parities(s: np.ndarray) -> bytes:
@@ -504,7 +514,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             # Links are few beside rows: as many tasks as they need, not as many as rows do.
             few = 1 + known_links // LINKS
             links = written(links.unionByName(more).coalesce(few))
-            labels = connected_components(links, lambda df: checkpointed(df.coalesce(few)))
+            labels = connected_components(links, lambda df: checkpointed(df.coalesce(few)), few)
         return found
 
     compared(written(pivots.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))

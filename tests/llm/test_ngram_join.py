@@ -118,3 +118,19 @@ def test_parities_bound_the_difference():
         s = np.unique(np.append(r[n // 5 :], rnd.integers(0, 2**64, n // 9, dtype=np.uint64)))
         x, y = (np.frombuffer(parities(v), np.uint8) for v in (r, s))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(r, s))
+
+
+def test_bloom_filter_takes_one_worker(spark, monkeypatch):
+    """The filter holds what it was made of; its workers are Arrow's alone, one a task (RDDs of Python would take further ones, which stay)."""
+    import pytest
+    from pyspark import RDD
+
+    from loxo.llm import ngram_join as N
+
+    monkeypatch.setattr(RDD, "treeAggregate", lambda *a: pytest.fail("an RDD of Python"))
+    ids = np.random.default_rng(6).integers(-(2**63), 2**63, 3000)
+    bits = np.zeros(1 << 20, bool)
+    bits[N._bits(ids, 1 << 20).ravel()] = True
+    made = N._bloom(spark.createDataFrame([(int(x),) for x in ids], "row long").repartition(90), 1 << 20)
+    assert made.value == np.packbits(bits).tobytes()
+    assert not any(N._bloom(spark.createDataFrame([], "row long"), 1 << 20).value)

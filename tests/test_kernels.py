@@ -120,6 +120,28 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), cut).collect() == []
 
 
+def test_few_edges_over_many_partitions(spark, monkeypatch):
+    """One task labels a graph, in parts of HELD edges, with one write and one go of Python."""
+    monkeypatch.setattr(components, "HELD", 5)
+    edges = [(i + 1, i) for i in range(40, 0, -1)] + [(90, 80), (70, 80), (7, 7), (99, 99)]
+    goes, cuts = spark.sparkContext.accumulator(0), []
+    labelled = components._labelled
+
+    def counted(parts):
+        goes.add(1)
+        return labelled(parts)
+
+    monkeypatch.setattr(components, "_labelled", counted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(30), lambda df: cuts.append(1) or cut(df), tasks=1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {i: 1 for i in range(1, 42)} | {70: 70, 80: 70, 90: 70, 99: 99}
+    assert {r.node: r.component for r in got.collect()} == want and got.count() == len(want)
+    assert len(cuts) == 1 and goes.value == 1
+
+
 def test_stars_in_several_holds(monkeypatch):
     monkeypatch.setattr(components, "HELD", 3)
     chain = pd.DataFrame({"a": range(1, 9), "b": range(8)})
