@@ -47,6 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import KEPT
+
 #: The pre-split of byte-level vocabularies (a fixed public pattern).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern where letters and digits are those that Python's own engine knows by \\w and \\d; ODD finds texts for which that isn't so.
@@ -191,6 +193,9 @@ def automaton(text: str) -> _Automaton:
     return _Automaton(json.loads(text))
 
 
+KEPT["bpe"] = automaton.cache_clear
+
+
 def _vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()

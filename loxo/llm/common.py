@@ -7,6 +7,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,5 +90,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What lets go of what an operator keeps in a Python worker from task to task, by operator.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def let_go() -> None:
+    """Called by an operator's tasks: what others have kept in this worker goes, as workers outlive the stage that filled them."""
+    for drop in KEPT.values():
+        drop()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, word_count
+from .common import checkpointed, let_go, partitions, word_count
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,7 @@ def _ranked(df: DataFrame, key: list[str], n: int, place: str) -> DataFrame:
     """df with columns place (from 0, within _src) and _total-free parts: one range exchange, no single task for all rows or for a source."""
 
     def local(batches):
+        let_go()
         last, seen = None, 0
         for b in batches:
             if not b.num_rows:

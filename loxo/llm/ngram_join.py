@@ -68,7 +68,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.components import connected_components
-from .common import checkpointed, partitions, release, small_batches, written
+from .common import checkpointed, let_go, partitions, release, small_batches, written
 from .shingles import U, batched, mixed, shingle_sets
 
 SMALL, SEEDS, WIDTH = 40, 4, 5
@@ -187,6 +187,7 @@ def _frequent(docs: DataFrame):
     width = CELLS // STRETCHES
 
     def count(batches):
+        let_go()
         counts, seen = np.zeros((2, CELLS), np.uint32), set()
         for batch in batches:
             for _, part in batched(batch.column(0).to_pylist()):
@@ -235,6 +236,7 @@ def _signing(frequent, kind: pa.DataType):
     """Makes rows (sig, class, n, doc_id, row): a row per signature of a class with n > 0, and per document one with n = -1 - size."""
 
     def signed(batches):
+        let_go()
         names, seen = ["sig", "class", "n", "doc_id", "row"], set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -262,6 +264,7 @@ def _shared(batches):
 
     The order has one key, so Spark sorts it by radix; the few rows that share a sig are put in order of class here.
     """
+    let_go()
     last = None
     names = ["sig", "class", "n", "doc_id", "row", "pivot", "pivot_n"]
     for batch in batches:

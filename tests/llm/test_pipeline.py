@@ -93,3 +93,15 @@ def test_alike_rows_share_their_copies(spark):
     want = {r.doc_id: r.n for r in pipeline.mix_sources(docs).groupBy("doc_id").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect() if r.n}
     got = {r.doc_id: r["count"] for r in pipeline.mixing(spark, docs, "").groupBy("doc_id").count().collect()}
     assert got == want
+
+
+def test_workers_let_go_of_the_automaton():
+    """A worker that has encoded holds some 65 to 180 MB; the next join or mix in it drops that."""
+    import pyarrow as pa
+
+    from loxo.llm import bpe, ngram_join
+
+    for task in (ngram_join._signing(None, pa.int64()), ngram_join._shared):
+        bpe.automaton('{"model": {"vocab": {}, "merges": []}}')
+        assert bpe.automaton.cache_info().currsize
+        assert list(task(iter([]))) == [] and not bpe.automaton.cache_info().currsize
