@@ -322,7 +322,7 @@ def _bloom(ids: DataFrame, size: int):
             out |= np.frombuffer(x.as_buffer(), np.uint8)
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["piece", "bits"])
 
-    # One Python operator a stage: an executor keeps as many workers as it ever ran at once, each with what its operators hold.
+    # One Python operator a stage, so one worker a task.
     whole = np.zeros((size // 8 // BLOOM_PIECE, BLOOM_PIECE), np.uint8)
     for r in ids.coalesce(64).mapInArrow(build, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").collect():
         whole[r.piece] = np.frombuffer(bytes(r.bits), np.uint8)
